@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, mixing, simhash, toxicity
+from . import ann, bpe, gif, langid, licenses, line_dedup, mixing, simhash, tokenfile, toxicity
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -30,14 +30,34 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.digest(gif.stored(table(spark, sf_dir, "documents")))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_files(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_mixing, op3_toxicity, op7_simhash, op10_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_mixing, op3_toxicity, op4_langid, op5_ann, op6_gif, op7_simhash, op8_tokenfile, op9_licenses, op10_bpe)}
 
 SQL: dict[str, str] = {}

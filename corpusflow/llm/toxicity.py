@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, with_columns_of
 
 #: Bounds of the fit: labelled rows of each class, characters of one of them, features. All are parameters of fit().
-FIT_ROWS, FIT_CHARS, FEATURES = 4000, 20_000, 4096
+FIT_ROWS, FIT_CHARS, FEATURES = 3000, 20_000, 4096
 GRADES = 4
 WORD = re.compile(r"[^\W\d_]+")
 BLOCK, MEMO = 1 << 20, 400_000
@@ -101,32 +101,30 @@ def fit_model(found: pd.DataFrame, features: int = FEATURES, steps: int = 400) -
     y = found["toxic"].to_numpy(np.int64)
     if len(set(y.tolist())) < 2:
         return Model({}, np.zeros(0), np.full(GRADES - 1, 60.0))
-    bags = []
-    for text in found["text"]:
-        bag: Counter = Counter()
-        for words in words_of(text):
-            for w in words:
-                bag.update(features_of(w))
-        bags.append(bag)
-    seen = [Counter(f for b, t in zip(bags, y, strict=True) if t == c for f in b) for c in (0, 1)]
+    seen = [Counter(), Counter()]
+    for text, t in zip(found["text"], y, strict=True):
+        seen[t].update({f for words in words_of(text) for w in set(words) for f in features_of(w)})
     n = [int((y == c).sum()) for c in (0, 1)]
 
     def z(f: str) -> float:
         a, b = seen[1][f] + 0.5, seen[0][f] + 0.5
         return float((np.log(a / (n[1] + 1 - a)) - np.log(b / (n[0] + 1 - b))) / np.sqrt(1 / a + 1 / b))
 
-    ranked = sorted(((z(f), f) for f in set(seen[0]) | set(seen[1]) if seen[1][f] < n[1] and seen[0][f] < n[0] and seen[0][f] + seen[1][f] >= 3), key=lambda x: (-abs(x[0]), x[1]))
+    often = (f for f in seen[0] | seen[1] if seen[0][f] + seen[1][f] >= 3 and seen[0][f] < n[0] and seen[1][f] < n[1])
+    ranked = sorted(((z(f), f) for f in often), key=lambda x: (-abs(x[0]), x[1]))
     chosen = [f for v, f in ranked if abs(v) > 3.5][:features]
     markers = {f for v, f in ranked if v > 3.5 and not f.endswith("*") and seen[1][f] / n[1] > 8 * (seen[0][f] + 0.5) / n[0]}
-    held = np.array([sum(b[f] for f in b if f in markers) for b in bags], np.float64)
+    index = {f: j for j, f in enumerate(chosen)}
+    count = Counts(Model(index, np.zeros(0), np.zeros(0)))
+    bags = [count(text) for text in found["text"]]
+    marking = {index[f] for f in markers if f in index}
+    held = np.array([sum(k for j, k in b.items() if j in marking) for b in bags], np.float64)
     cuts = np.quantile(held[y == 1], [1 / 3, 2 / 3])
     grade = np.where(y == 1, 1 + (held > cuts[0]) + (held > cuts[1]), 0)
-    index = {f: j for j, f in enumerate(chosen)}
     rows, cols, values = [], [], []
     for i, b in enumerate(bags):
-        for f, k in sorted(b.items()):
-            if f in index:
-                rows.append(i), cols.append(index[f]), values.append(1 + np.log(k))
+        for j, k in sorted(b.items()):
+            rows.append(i), cols.append(j), values.append(1 + np.log(k))
     rows, cols, values = np.array(rows, np.int64), np.array(cols, np.int64), np.array(values)
     weight = found["weight"].to_numpy(np.float64)
     weight = weight / weight.sum()
