@@ -19,44 +19,57 @@ WILD = "<*>"
 
 
 def generalised(line: Column) -> Column:
-    """The line's tokens: words with a digit become <*>. No word: an empty array."""
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, f"[^{SPACE}0-9]*[0-9][^{SPACE}]*", F.lit(WILD))).otherwise(line)
-    words = F.regexp_replace(masked, f"^[{SPACE}]+|[{SPACE}]+$", F.lit(""))
-    return F.when(words == "", F.array().cast("array<string>")).otherwise(F.split(words, f"[{SPACE}]+"))
+    """The line's words with single spaces between, those with a digit as <*>; empty without a word.
+
+    Lines that are so already, most of prose, are told by looking for bytes and pass as they are.
+    """
+    words = F.regexp_replace(line, f"(?<![^{SPACE}])[^{SPACE}0-9]*+[0-9][^{SPACE}]*", F.lit(WILD))
+    words = F.trim(F.regexp_replace(words, f"[{SPACE}]+", F.lit(" ")))
+    rough = line.rlike(r"[0-9\x09-\x0D]") | line.contains("  ") | line.startswith(" ") | line.endswith(" ")
+    return F.when(rough, words).otherwise(line)
+
+
+def tokens(norm: Column) -> Column:
+    return F.split(norm, " ")
 
 
 def _lines(docs: DataFrame, depth: int) -> DataFrame:
-    """(doc, th, no, tokens, n, leaf) of lines that have a word; doc and th, the text's hash, name a document."""
+    """(doc, th, no, norm, n, leaf) of lines that have a word; doc and th, the text's hash, name a document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    rows = rows.select("doc", "th", "no", generalised(F.col("line")).alias("tokens")).withColumn("n", F.size("tokens"))
-    return rows.where("n > 0").withColumn("leaf", F.xxhash64("n", F.slice("tokens", 1, depth)))
+    rows = rows.select("doc", "th", "no", generalised(F.col("line")).alias("norm")).where("norm <> ''")
+    n = F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
+    return rows.select("*", n.alias("n")).withColumn("leaf", F.xxhash64("n", F.substring_index("norm", " ", depth)))
+
+
+def _hashes() -> tuple[Column, Column]:
+    """Two 64-bit hashes name a line's tokens."""
+    return F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2")
 
 
 def templates(docs: DataFrame, depth: int = 3, similarity: float = 0.7, min_docs: int = 3) -> DataFrame:
     """(doc, th, drop): for each document that loses lines, their numbers from 0. See dedup_lines()."""
     lines = _lines(docs, depth)
-    # Keys only. Two 64-bit hashes name a line; a third, of n and the first tokens, its leaf.
-    keys = cut(lines.select("doc", "th", "no", "n", "leaf", F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit(1), "tokens").alias("h2")))
-    # Leaves with several different lines that enough documents share: only there a template may differ from its lines.
-    per_doc = keys.groupBy("leaf", "doc", "th").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"))
-    wide = F.col("lo") < F.col("hi")
-    leaves = cut(per_doc.groupBy("leaf").agg(F.count("*").alias("docs"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(wide & (F.col("docs") >= min_docs)).select("leaf"))
+    # A template that recurs in min_docs documents stands in a leaf with as many lines; prose has few such leaves.
+    h1, h2 = _hashes()
+    leaves = lines.select("leaf", "n", h1).groupBy("leaf").agg(F.count("*").alias("times"), F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max("n").alias("n"))
+    leaves = cut(leaves.where(F.col("times") >= min_docs).select("leaf", ((F.col("lo") < F.col("hi")) & (F.col("n") > depth)).alias("wide")))
     few = leaves.count() <= FEW_LEAVES
     meet = lambda df, small, spread: df.join(F.broadcast(small), "leaf") if few else salted_join(df, small, "leaf", spread)
-    # Each different line of such a leaf once, with how often it stands: the words of these lines only are moved.
-    shared = meet(lines.where(f"n > {depth}"), leaves, F.xxhash64("tokens")).groupBy("leaf", "tokens").agg(F.count("*").alias("times"))
+    keys = cut(meet(lines.select("doc", "th", "no", "leaf", h1, h2), leaves.select("leaf"), F.col("h1")))
+    # Only in a leaf with different lines may a template differ from its lines: each of these once, with how often it stands.
+    shared = meet(lines.select("leaf", "norm"), leaves.where("wide").select("leaf"), F.xxhash64("norm")).groupBy("leaf", "norm").agg(F.count("*").alias("times"))
     shared = cut(shared)
-    placed = shared.select("leaf", "times", F.posexplode(F.slice("tokens", depth + 1, 1 << 30)).alias("at", "token"))
-    tokens = placed.groupBy("leaf", "at", "token").agg(F.sum("times").alias("times"))
+    placed = shared.select("leaf", "times", F.posexplode(F.slice(tokens(F.col("norm")), depth + 1, 1 << 30)).alias("at", "token"))
+    token = placed.groupBy("leaf", "at", "token").agg(F.sum("times").alias("times"))
     totals = shared.groupBy("leaf").agg(F.sum("times").alias("total"))
-    first = tokens.groupBy("leaf", "at").agg(F.max(F.struct("times", "token")).alias("best"))
+    first = token.groupBy("leaf", "at").agg(F.max(F.struct("times", "token")).alias("best"))
     fixed = first.join(totals, "leaf").where("2 * best.times > total").select("leaf", "at", F.col("best.token").alias("fixed"))
     template = fixed.groupBy("leaf").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("at", "fixed")))).alias("fixed"))  # at most a line's tokens
-    agree = F.size(F.filter(F.transform(F.slice("tokens", depth + 1, 1 << 30), lambda x, i: x.eqNullSafe(F.try_element_at(F.col("fixed"), i))), lambda x: x)) + depth
-    joined = salted_join(shared, template, "leaf", F.xxhash64("tokens")).where(agree >= F.size("tokens") * F.lit(similarity))
-    members = joined.select(F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit(1), "tokens").alias("h2"), F.col("leaf").alias("of"))
+    words = salted_join(shared.select("leaf", "norm"), template, "leaf", F.xxhash64("norm")).select("leaf", "norm", "fixed", tokens(F.col("norm")).alias("words"))
+    agree = F.size(F.filter(F.slice("words", depth + 1, 1 << 30), lambda x, i: x.eqNullSafe(F.try_element_at(F.col("fixed"), i)))) + depth
+    members = words.where(agree >= F.size("words") * F.lit(similarity)).select(h1, h2, F.col("leaf").alias("of"))
     # A line's template: its leaf's, or itself.
-    named = _joined_lines(keys, cut(members))
+    named = cut(_joined_lines(keys, cut(members)))
     # The first line of a document stands for its template there, so that counting documents needs no distinct count.
     once = named.groupBy("t1", "t2", "doc", "th").agg(F.min("no").alias("no"))
     recurring = once.groupBy("t1", "t2").agg(F.count("*").alias("docs"), F.min(F.struct("doc", "th", "no")).alias("keep")).where(F.col("docs") >= min_docs).select("t1", "t2", "keep")
