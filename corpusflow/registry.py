@@ -1,10 +1,5 @@
 """The library's own queries, each with the same in SQL where SQL can express it."""
 
-from __future__ import annotations
+from .plans.queries import QUERIES, SQL
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
