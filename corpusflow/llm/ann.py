@@ -213,6 +213,6 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     worst = near.where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
     own = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     reach = F.sqrt(F.greatest(F.lit(0.0), own / index.norm**2 + 1 - 2 * F.col("kth") / index.norm**2))
-    asked = queries.join(worst, queries["vec_id"] == worst["query_id"], "left").select("vec_id", "v", F.coalesce(reach, F.lit(float("inf"))).alias("bound"))
+    asked = queries.join(worst, queries["vec_id"] == worst["query_id"], "left").select("vec_id", "v", F.when(F.col("kth").isNull(), F.lit(float("inf"))).otherwise(reach).alias("bound"))
     far = pass_over(asked, False)
     return top(near.drop("rank").union(far)).select("query_id", "rank", "vec_id", "score")
