@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, with_columns_of
+from .common import bounded_batches, over_arrow, with_columns_of
 
 #: Bounds of the fit: rows in all, characters of each (at a place chosen by hash), languages (the most frequent ones).
 FIT_ROWS, FIT_CHARS, LANGS = 3000, 240, 64
@@ -282,7 +282,7 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
             found = memory.batch(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return rows.mapInArrow(partial(run, net=net), "doc_id long, held_out boolean, lang_pred string, score double")
+    return over_arrow(rows, partial(run, net=net), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:

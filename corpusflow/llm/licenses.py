@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, with_columns_of
+from .common import bounded_batches, over_arrow, with_columns_of
 
 #: What licences call themselves and the openings of their texts, by family.
 TEMPLATES: dict[str, list[str]] = {
@@ -270,7 +270,7 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], names=names)
 
     rows = with_columns_of(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(partial(run, model=model), "doc_id long, paragraphs long, licence_paragraphs long, unknown_paragraphs long, families string, score double")
+    return over_arrow(rows, partial(run, model=model), "doc_id long, paragraphs long, licence_paragraphs long, unknown_paragraphs long, families string, score double")
 
 
 def licenses(docs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected_components, cut, with_columns_of
+from .common import bounded_batches, connected_components, cut, over_arrow, with_columns_of
 
 #: Texts longer than this are cut at white space and taken in turn.
 BLOCK = 1 << 20
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             found = np.array([fingerprint(x.as_py(), width) for x in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found)], names=["doc_id", "fp"])
 
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return over_arrow(rows, run, "doc_id long, fp long")
 
 
 def ball(radius: int, bits: int = 64) -> list[int]:
