@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import islice
@@ -20,10 +21,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, ranges, with_columns_of
+from .common import bounded_batches, over_arrow, ranges, with_columns_of
 
 #: The byte-level split of words that the vocabulary was made for (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for texts within Latin-1, whose letters, numbers and white space can be told one by one; Python's own engine is faster.
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\\t-\\r \x85\xa0"
+LATIN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 #: Distinct words that a worker remembers; texts of more characters are matched piece by piece, so many words at a time.
 MEMO, BLOCK, PIECE = 300_000, 1 << 20, 1 << 17
 NONE = np.iinfo(np.int64).max
@@ -190,8 +194,8 @@ class Memo(dict):
 class TextEncoder:
     """Texts to ids: cut at special tokens, match words, look words up; `words` encodes those not yet known."""
 
-    def __init__(self, vocabulary: Vocabulary, words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> None:
-        self.v, self.words, self.pattern = vocabulary, words, regex.compile(PATTERN)
+    def __init__(self, vocabulary: Vocabulary, words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], memo: int = MEMO) -> None:
+        self.v, self.words, self.most, self.any, self.latin = vocabulary, words, memo, regex.compile(PATTERN), re.compile(LATIN)
         self.forget()
 
     def forget(self) -> None:
@@ -200,6 +204,11 @@ class TextEncoder:
     def pieces(self, text: str) -> Iterator[list[str] | int]:
         """Lists of words, and ids of special tokens."""
         at, segments = 0, []
+        try:
+            text.encode("latin-1")
+            pattern = self.latin
+        except UnicodeEncodeError:
+            pattern = self.any
         for m in self.v.cut.finditer(text) if self.v.cut else ():
             segments += [text[at : m.start()], self.v.special[m[0]]]
             at = m.end()
@@ -207,9 +216,9 @@ class TextEncoder:
             if isinstance(x, int):
                 yield x
             elif len(x) <= BLOCK:
-                yield self.pattern.findall(x)
+                yield pattern.findall(x)
             else:
-                found = self.pattern.finditer(x)
+                found = pattern.finditer(x)
                 while some := [m[0] for m in islice(found, PIECE)]:
                     yield some
 
@@ -238,7 +247,7 @@ class TextEncoder:
                 group.append(self.number(text))
             self.learn()
             out += [self.gather(x) for x in group]
-            if len(self.memo) > MEMO:
+            if len(self.memo) > self.most:
                 self.forget()
         return out
 
@@ -275,7 +284,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
             texts = [hashlib.sha256(v.decode(x.astype(np.int64)).encode()).hexdigest() for x in found]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lengths), lists, pa.array(sums, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+    return over_arrow(rows, run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -288,4 +297,5 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
             texts = [None if x is None else v.decode(np.array([-1 if i is None else i for i in x], np.int64)) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return with_columns_of(encoded, ["doc_id", "ids"]).select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(run, "doc_id long, text string")
+    rows = with_columns_of(encoded, ["doc_id", "ids"]).select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>"))
+    return over_arrow(rows, run, "doc_id long, text string")

@@ -13,6 +13,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import TextEncoder, vocabulary
-from .common import bounded_batches, shared_dir, with_columns_of
+from .common import bounded_batches, over_arrow, shared_dir, with_columns_of
 
 SEQUENCE, SEQUENCES = 2048, 64
+#: Different words that a worker remembers, as the library takes long over a new one.
+MEMO = 700_000
 INDEX_ROWS = 4096
 
 
@@ -40,13 +43,13 @@ class LibraryWords:
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum())), lengths
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
 
 
 @lru_cache(2)
 def library(path: str) -> TextEncoder:
     """Encodes each different word of a text once; the words are those that the library itself cuts texts into."""
-    return TextEncoder(vocabulary(path), LibraryWords(path))
+    return TextEncoder(vocabulary(path), LibraryWords(path), MEMO)
 
 
 def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
@@ -169,7 +172,7 @@ def write(docs: DataFrame, path: str, folder: str, end: int = 2, sequence: int =
             names = writer.close()
             yield pa.RecordBatch.from_pylist([{"part": part, "ids": names[0], "index": names[1], "tokens": writer.total, "docs": writer.docs}])
 
-    found = ordered.mapInArrow(run, "part long, ids string, index string, tokens long, docs long").collect()
+    found = over_arrow(ordered, run, "part long, ids string, index string, tokens long, docs long").collect()
     return sorted((r["part"], r["ids"], r["index"], r["tokens"], r["docs"]) for r in found)
 
 
