@@ -11,21 +11,24 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, ranges, with_columns_of
+from .common import bounded_batches, over_arrow, ranges, with_columns_of
 
 SIDE = 24
 PIECE = SIDE * SIDE
-#: Streams read in step, and payload bytes that one group of documents may hold.
-TOGETHER, GROUP_BYTES = 1024, 4 << 20
+#: Streams read in step, streams packed at once, and payload bytes that one group of documents may hold.
+TOGETHER, PACKED, GROUP_BYTES = 1024, 16, 4 << 20
 DELAY = 4  # hundredths of a second
 
 
+@lru_cache(1)
 def palette_332() -> np.ndarray:
     """256 colours: three bits of red, three of green, two of blue. The top bits give the index back."""
     i = np.arange(256)
@@ -38,50 +41,58 @@ def index_332(rgb: np.ndarray) -> np.ndarray:
 
 def lzw_codes(data: bytes, bits: int = 8) -> list[list[int]]:
     """Codes of data in runs; a run starts where the table is cleared."""
-    clear, runs, table, out = 1 << bits, [], {}, []
-    free, code = clear + 2, -1
-    for b in data:
-        if code < 0:
-            code = b
-            continue
+    if not data:
+        return [[]]
+    first, runs = (1 << bits) + 2, []
+    table: dict[int, int] = {}
+    out: list[int] = []
+    get, put, free = table.get, out.append, first
+    code, *rest = data
+    for b in rest:
         key = code << 8 | b
-        if (known := table.get(key)) is not None:
+        known = get(key)
+        if known is not None:
             code = known
             continue
-        out.append(code)
+        put(code)
         code = b
-        if free == 4095:
-            runs.append(out)
-            table, out, free = {}, [], clear + 2
-        else:
+        if free < 4095:
             table[key] = free
             free += 1
-    if code >= 0:
-        out.append(code)
+        else:
+            runs.append(out)
+            table, out = {}, []
+            get, put, free = table.get, out.append, first
+    put(code)
     return [*runs, out]
 
 
+@lru_cache(16)
+def code_widths(bits: int) -> np.ndarray:
+    """How wide code j after a clear is, from j = 1 on: as wide as the reader's next entry asks for."""
+    free = np.maximum((1 << bits) + 2, (1 << bits) + np.arange(1, 4200))
+    return np.clip(np.floor(np.log2(free)).astype(np.int64) + 1, bits + 1, 12)
+
+
 def lzw_pack(streams: list[list[list[int]]], bits: int = 8) -> list[bytes]:
-    """Runs of codes to bytes, low bits first, codes as wide as the table that the reader then has; each stream ends on a byte."""
-    clear = 1 << bits
-    codes, widths, ends = [], [], []
+    """Runs of codes to bytes, low bits first; each stream ends on a byte."""
+    clear, widths = 1 << bits, code_widths(bits)
+    codes, parts, ends = [], [], []
     for runs in streams:
-        total = 0
+        total, before = 0, None
         for r, run in enumerate(runs):
-            n = len(run) + 1 + (r == len(runs) - 1)
-            w = np.empty(n, np.int64)
-            w[0] = _width(clear + 1, bits) if r == 0 else _width(clear + 2 + max(0, len(runs[r - 1]) - 1), bits)
-            free = np.maximum(clear + 2, clear + np.arange(1, n))  # the reader's next entry when it reads code j
-            w[1:] = np.clip(np.ceil(np.log2(free + 1)), bits + 1, 12)
-            codes += [clear, *run, clear + 1] if r == len(runs) - 1 else [clear, *run]
-            widths.append(w)
-            total += int(w.sum())
+            last = r == len(runs) - 1
+            start = bits + 1 if before is None else int(widths[before])  # a clear is as wide as the code that it stands for
+            n = len(run) + last
+            codes += [clear, *run, clear + 1] if last else [clear, *run]
+            parts += [np.array([start]), widths[:n]]
+            total, before = total + start + int(widths[:n].sum()), len(run)
         if fill := -total % 8:
             codes.append(0)
-            widths.append(np.array([fill]))
+            parts.append(np.array([fill]))
         ends.append((total + fill) // 8)
-    c, w = np.array(codes, np.uint16), np.concatenate(widths)
-    place = np.arange(12)
+    c, w = np.array(codes, np.uint16), np.concatenate(parts)
+    place = np.arange(12, dtype=np.uint16)
     flat = (c[:, None] >> place & 1).astype(np.uint8)[place[None, :] < w[:, None]]
     packed, at, out = np.packbits(flat, bitorder="little").tobytes(), 0, []
     for n in ends:
@@ -90,10 +101,6 @@ def lzw_pack(streams: list[list[list[int]]], bits: int = 8) -> list[bytes]:
     return out
 
 
-def _width(free: int, bits: int) -> int:
-    return min(12, max(bits + 1, int(free).bit_length()))
-
-
 def lzw_decode(streams: list[bytes], bits: int, sizes: list[int]) -> list[np.ndarray]:
     """The first `sizes` bytes of each stream; ValueError if one ends early or holds a code that its table hasn't yet."""
     out: list[np.ndarray] = []
@@ -182,7 +189,7 @@ def _blocks(data: bytes) -> bytes:
     return b"".join(bytes([len(x := data[i : i + 255])]) + x for i in range(0, len(data), 255)) + b"\0"
 
 
-def gif_bytes(frames: list[bytes], packed: list[bytes], width: int, height: int, palette: np.ndarray, delay: int = DELAY, disposal: int = 1) -> bytes:
+def gif_bytes(packed: list[bytes], width: int, height: int, palette: np.ndarray, delay: int = DELAY, disposal: int = 1) -> bytes:
     """An endless animation of full frames, whose LZW streams are `packed`."""
     head = b"GIF89a" + width.to_bytes(2, "little") + height.to_bytes(2, "little") + b"\xf7\0\0" + palette.tobytes()
     head += b"\x21\xff\x0bNETSCAPE2.0\x03\x01\0\0\0"
@@ -191,10 +198,20 @@ def gif_bytes(frames: list[bytes], packed: list[bytes], width: int, height: int,
     return head + b"".join(control + image + _blocks(p) for p in packed) + b";"
 
 
+def encode_gifs(payloads: list[bytes], side: int = SIDE) -> list[bytes]:
+    """Each payload, a positive multiple of side * side bytes, as indices of full frames."""
+    size = side * side
+    counts = [len(p) // size for p in payloads]
+    codes = (lzw_codes(p[i : i + size]) for p in payloads for i in range(0, len(p), size))
+    packed: list[bytes] = []
+    while some := list(islice(codes, PACKED)):
+        packed += lzw_pack(some)
+    ends = np.cumsum(counts).tolist()
+    return [gif_bytes(packed[e - n : e], side, side, palette_332()) for n, e in zip(counts, ends, strict=True)]
+
+
 def encode_gif(payload: bytes, side: int = SIDE) -> bytes:
-    """payload, a positive multiple of side * side bytes, as indices of full frames."""
-    frames = [payload[i : i + side * side] for i in range(0, len(payload), side * side)]
-    return gif_bytes(frames, lzw_pack([lzw_codes(f) for f in frames]), side, side, palette_332())
+    return encode_gifs([payload], side)[0]
 
 
 def parse_gif(data: bytes) -> tuple[int, int, list[tuple[Image, bytes, int, bool]]]:
@@ -320,7 +337,7 @@ def frames(media: DataFrame) -> DataFrame:
                     yield _frame_batch(rows)
 
     schema = "doc_id long, frame int, start_ms long, delay_ms int, width int, height int, histogram array<long>, rgba binary"
-    return with_columns_of(media, ["doc_id", "media"]).select(F.col("doc_id").cast("long"), "media").mapInArrow(run, schema)
+    return over_arrow(with_columns_of(media, ["doc_id", "media"]).select(F.col("doc_id").cast("long"), "media"), run, schema)
 
 
 def _frame_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -332,17 +349,58 @@ def padded(text: bytes) -> bytes:
     return text + b"\xff" * (-len(text) % PIECE if text else PIECE)
 
 
-def stored(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media): each text as UTF-8, filled up with bytes 255 to whole frames, as a GIF. Null is empty."""
+def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = [x.as_py() or b"" for x in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array(encode_gifs([padded(x) for x in texts]), pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+
+def _told(data: bytes, gif: tuple[int, int, list[Image]]) -> tuple:
+    width, height, images = gif
+    payload, counts, shown = hashlib.sha256(), np.zeros(64, np.int64), 0
+    size, tail = 0, b""
+    whole = all(i.disposal < 2 and i.transparent < 0 and i.indices.shape == (height, width) and not i.left and not i.top for i in images)
+    # Full opaque frames show their own colours only, so that many are coloured at once.
+    if whole and len({i.palette.tobytes() for i in images}) == 1:
+        groups = (images[a : a + 64] for a in range(0, len(images), 64))
+        pictures = ((images[0].palette[np.stack([i.indices for i in g])], sum(10 * i.delay for i in g)) for g in groups)
+    else:
+        pictures = ((x[..., :3], ms) for x, ms in compose(width, height, images))
+    for rgb, ms in pictures:
+        part = index_332(rgb).tobytes()
+        payload.update(part)
+        size, tail, shown = size + len(part), (tail + part[-32:])[-32:], shown + ms
+        counts += histogram(rgb)
+    feature = f"{len(images)}x{width}x{height}@{shown}ms:{','.join(map(str, counts.tolist()))}"
+    return size, payload.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), feature
+
+
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows, group, size = [], [], 0
+        values = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True))
+        for n, (key, n_bytes, data) in enumerate(values):
+            group.append((key, n_bytes, data.as_py()))
+            size += len(group[-1][2] or b"")
+            if size > GROUP_BYTES or n == len(values) - 1:
+                gifs = iter(read_gifs([x for _, _, x in group if x is not None]))
+                rows += [(k, m, *(_told(x, next(gifs)) if x is not None else (None,) * 6)) for k, m, x in group]
+                group, size = [], 0
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_DIGEST)], schema=_DIGEST)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
+    return with_columns_of(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [x.as_py() or b"" for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array([encode_gif(padded(x)) for x in texts], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    rows = with_columns_of(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
+def stored(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media): each text as UTF-8, filled up with bytes 255 to whole frames, as a GIF. Null is empty."""
+    return over_arrow(_texts(docs), _store, "doc_id long, n_bytes long, media binary")
 
 
 def digest(media: DataFrame) -> DataFrame:
@@ -352,35 +410,9 @@ def digest(media: DataFrame) -> DataFrame:
     repeated rows and null doc_ids are rows like others. Null media: the other columns are null.
     """
     bounded_batches(media.sparkSession)
-    types = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
-
-    def told(data: bytes, gif: tuple[int, int, list[Image]]) -> tuple:
-        width, height, images = gif
-        payload, counts, shown = hashlib.sha256(), np.zeros(64, np.int64), 0
-        size, tail = 0, b""
-        whole = all(i.disposal < 2 and i.transparent < 0 and i.indices.shape == (height, width) and not i.left and not i.top for i in images)
-        # Full opaque frames show their own colours only, so that many are coloured at once.
-        pictures = ((images[a].palette[np.stack([i.indices for i in images[a : a + 64]])], sum(10 * i.delay for i in images[a : a + 64])) for a in range(0, len(images), 64)) if whole and len({i.palette.tobytes() for i in images}) == 1 else ((x[..., :3], ms) for x, ms in compose(width, height, images))
-        for rgb, ms in pictures:
-            part = index_332(rgb).tobytes()
-            payload.update(part)
-            size, tail, shown = size + len(part), (tail + part)[-32:], shown + ms
-            counts += histogram(rgb)
-        feature = f"{len(images)}x{width}x{height}@{shown}ms:{','.join(map(str, counts.tolist()))}"
-        return size, payload.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), feature
+    return over_arrow(with_columns_of(media, ["doc_id", "n_bytes", "media"]), _digest, DIGEST)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, group, size = [], [], 0
-            values = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True))
-            for n, (key, n_bytes, data) in enumerate(values):
-                group.append((key, n_bytes, data.as_py()))
-                size += len(group[-1][2] or b"")
-                if size > GROUP_BYTES or n == len(values) - 1:
-                    gifs = iter(read_gifs([x for _, _, x in group if x is not None]))
-                    rows += [(k, m, *(told(x, next(gifs)) if x is not None else (None,) * 6)) for k, m, x in group]
-                    group, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(types)], schema=pa.schema(types))
-
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return with_columns_of(media, ["doc_id", "n_bytes", "media"]).mapInArrow(run, schema)
+
+def stored_digest(docs: DataFrame) -> DataFrame:
+    """digest(stored(docs)) in one pass: the GIFs' bytes are made and read back without going through the JVM between."""
+    return over_arrow(_texts(docs), lambda batches: _digest(_store(batches)), DIGEST)

@@ -39,7 +39,7 @@ def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gif.digest(gif.stored(table(spark, sf_dir, "documents")))
+    return gif.stored_digest(table(spark, sf_dir, "documents"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
