@@ -8,6 +8,7 @@ much of the evidence they hold: grades 1, 2, 3 are the thirds of their number of
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, with_columns_of
+from .common import bounded_batches, over_arrow, with_columns_of
 
 #: Bounds of the fit: labelled rows of each class, characters of one of them, features. All are parameters of fit().
 FIT_ROWS, FIT_CHARS, FEATURES = 3000, 20_000, 4096
 GRADES = 4
 WORD = re.compile(r"[^\W\d_]+")
-BLOCK, MEMO = 1 << 20, 400_000
+BLOCK, MEMO = 1 << 20, 200_000
 
 
 def words_of(text: str | None) -> Iterator[list[str]]:
@@ -80,6 +81,11 @@ class Counts:
         return out
 
 
+def _likeness(text: str) -> tuple[int, ...]:
+    """The three least hashes of a text's words: alike for near copies, seldom for others."""
+    return tuple(sorted({zlib.crc32(w.encode()) for words in words_of(text) for w in set(words)})[:3])
+
+
 def fit_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> pd.DataFrame:
     """(text, toxic, weight) of at most `rows` labelled rows of each class, those of least hash; a bounded sample by rule.
 
@@ -91,7 +97,9 @@ def fit_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: in
     ids = chosen[0].union(chosen[1])  # at most 2 * rows ids, so that they may be broadcast
     texts = with_columns_of(docs, ["doc_id", "text"]).where(F.length("text") <= chars).join(F.broadcast(ids), F.col("doc_id").cast("long") == F.col("id"))
     found = texts.select("id", "text", "toxic").orderBy(F.xxhash64("id", "text"), "id").limit(4 * rows).toPandas()
-    found = found.drop_duplicates("id").sort_values(["id"]).reset_index(drop=True)
+    # Of near copies one is enough: their own rare words would pass for signs of their class.
+    found = found.drop_duplicates("id").sort_values(["id"]).assign(like=[_likeness(t) for t in found.drop_duplicates("id").sort_values(["id"])["text"]])
+    found = found.drop_duplicates(["like", "toxic"]).drop(columns="like").reset_index(drop=True)
     have = found["toxic"].value_counts()
     return found.assign(weight=[of[t] / have[t] for t in found["toxic"]])
 
@@ -112,8 +120,10 @@ def fit_model(found: pd.DataFrame, features: int = FEATURES, steps: int = 400) -
 
     often = (f for f in seen[0] | seen[1] if seen[0][f] + seen[1][f] >= 3 and seen[0][f] < n[0] and seen[1][f] < n[1])
     ranked = sorted(((z(f), f) for f in often), key=lambda x: (-abs(x[0]), x[1]))
-    chosen = [f for v, f in ranked if abs(v) > 3.5][:features]
-    markers = {f for v, f in ranked if v > 3.5 and not f.endswith("*") and seen[1][f] / n[1] > 8 * (seen[0][f] + 0.5) / n[0]}
+    # A sign of a class is surely (z) and much (six times) more frequent there.
+    times = {f: (seen[1][f] + 0.5) / n[1] / ((seen[0][f] + 0.5) / n[0]) for v, f in ranked if abs(v) > 3.5}
+    chosen = [f for _, f in ranked if f in times and not 1 / 6 < times[f] < 6][:features]
+    markers = {f for f in chosen if times[f] > 1 and not f.endswith("*")}
     index = {f: j for j, f in enumerate(chosen)}
     count = Counts(Model(index, np.zeros(0), np.zeros(0)))
     bags = [count(text) for text in found["text"]]
@@ -173,7 +183,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "severity", "grade", "toxic"])
 
     rows = with_columns_of(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(partial(run, model=model), "doc_id long, severity double, grade int, toxic boolean")
+    return over_arrow(rows, partial(run, model=model), "doc_id long, severity double, grade int, toxic boolean")
 
 
 def toxic_severity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -191,4 +201,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for b, above in _grades(model, batches, at):
             yield b.filter(pa.array(above[:, 0] <= 0.5))
 
-    return docs.mapInArrow(partial(run, model=model), docs.schema)
+    return over_arrow(docs, partial(run, model=model), docs.schema)
