@@ -7,7 +7,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corpusflow.llm import bpe, line_dedup, mixing, simhash, toxicity
 from corpusflow.llm.common import shared_dir, table
@@ -21,9 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with recurring lines taken out of their text; n_chars is that of the new text."""
-    others = [c for c in docs.columns if c != "text"]
-    out = line_dedup.dedup_lines(docs, keep=others).drop("n_lines", "n_dropped")
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return line_dedup.deduped_documents(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -107,3 +107,12 @@ def dedup_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.7, min_do
     n_dropped = F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long")
     out = [F.col(k).alias(c) for k, c in zip(kept, keep or ["doc_id"], strict=True)]
     return both.select(*out, text.alias("text"), n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
+
+
+def deduped_documents(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs with what dedup_lines() leaves of their text, and its length in n_chars where docs has that; other columns as they were."""
+    names = [f"__c{i}" for i, _ in enumerate(docs.columns)]
+    renamed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)), "doc_id", "text")
+    out = dedup_lines(renamed, keep=names, **how)
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*(new.get(c, F.col(n)).alias(c) for c, n in zip(docs.columns, names, strict=True)))
