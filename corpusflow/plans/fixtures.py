@@ -40,5 +40,22 @@ def bpe_spec() -> dict:
     }
 
 
+def byte_level_spec() -> dict:
+    """Every byte a token, and merges of the ASCII pieces."""
+    letters = [chr(b) for b in [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]]
+    letters += [chr(0x100 + i) for i in range(256 - len(letters))]
+    words = dict.fromkeys([*letters, *(m.replace(" ", "") for m in merges())])
+    return {"added_tokens": [], "pre_tokenizer": {"type": "ByteLevel"}, "decoder": {"type": "ByteLevel"}, "model": {"type": "BPE", "vocab": {w: i for i, w in enumerate(words)}, "merges": merges()}}
+
+
+def character_spec() -> dict:
+    """WordPiece with every printable character of Latin-1 and a few beyond as a piece, first and continuing."""
+    chars = [chr(c) for c in [*range(0x21, 0x7F), *range(0xA1, 0x180), *range(0x2010, 0x2040), 0x20AC]]
+    return {
+        "added_tokens": [], "pre_tokenizer": {"type": "Whitespace"}, "decoder": {"type": "WordPiece", "prefix": "##"},
+        "model": {"type": "WordPiece", "unk_token": "[UNK]", "max_input_chars_per_word": 10_000, "vocab": {w: i for i, w in enumerate(["[UNK]", *chars, *("##" + c for c in chars)])}},
+    }
+
+
 #: Text prompts by task (fixed values).
 PROMPTS = {"query": "query: ", "document": "passage: ", "summary": "Summarize: "}

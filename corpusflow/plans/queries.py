@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import json
+import os
+import struct
+import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chars, names, shapes, vectors, words
-from ..operators import aggregates, bucket, similarity
-from ..operators.tokenizer import Options, Tokenizer, encode_column, encode_ids_column, tokens_table
-from ..sources import catalog, dequant, scan
+from ..operators import aggregates, bucket, embed, image, similarity
+from ..operators.tokenizer import Options, Tokenizer, decode_column, encode_ids_column, tokens_table
+from ..sources import catalog, dequant, hub, scan, schema, tensors
 from . import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +39,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; a local master may go without that setting."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{root or tempfile.mkdtemp(prefix='corpusflow-')}/corpusflow/{kind}-{uuid.uuid4().hex}"
+
+
 def rounded(c: Column, digits: int = 6) -> Column:
     return F.round(c, digits)
 
@@ -424,10 +438,7 @@ def q_stream_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a stream of files through the stateful bucketizer; with a delay of 0 a second micro-batch flushes the rest."""
     from ..streaming.bucketizer import bucketize
 
-    import tempfile
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusflow-")
-    folder, name = f"{folder}/corpusflow/stream-{uuid.uuid4().hex}", f"stream_{uuid.uuid4().hex}"
+    folder, name = shared_folder(spark, "stream"), f"stream_{uuid.uuid4().hex}"
     src = read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("reference"), F.transform(words.whitespace_words(F.col("text")), lambda w: F.length(w)).alias("ids"))
     src.write.mode("overwrite").parquet(f"{folder}/in")
     stream = spark.readStream.schema(src.schema).parquet(f"{folder}/in")
@@ -548,3 +559,172 @@ def q_dequant_q8_0(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_mask_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     mask = F.transform("embedding", lambda x: F.when(x > 0, F.lit(255).cast("long")).otherwise(F.lit(0).cast("long")))
     return read(spark, sf_dir, "embeddings").select("vec_id", F.aggregate(mask, F.lit(0).cast("long"), lambda s, x: s + x).alias("mask_sum"))
+
+
+def _tensor_files(spark: SparkSession, sf_dir: str, kind: str) -> str:
+    """A container for each label with its vectors as tensors named by their ids, written where executors and driver see it."""
+    folder = shared_folder(spark, kind)
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+
+        items = {f"vec.{i}.weight": np.asarray(v, "<f4") for i, v in zip(pdf["vec_id"], pdf["embedding"], strict=True)}
+        data, head, infos, at = b"".join(a.tobytes() for a in items.values()), {"__metadata__": {"label": str(pdf["label"].iloc[0])}}, b"", 0
+        text = lambda t: struct.pack("<Q", len(t.encode())) + t.encode()
+        for name, a in items.items():
+            head[name] = {"dtype": "F32", "shape": [len(a) // 8, 8], "data_offsets": [at, at + a.nbytes]}
+            infos += text(name) + struct.pack("<I2QIQ", 2, 8, len(a) // 8, 0, at)
+            at += a.nbytes
+        if kind == "safetensors":
+            raw = json.dumps(head).encode()
+            out = struct.pack("<Q", len(raw)) + raw + data
+        else:
+            out = b"GGUF" + struct.pack("<IQQ", 3, len(items), 1) + text("label") + struct.pack("<Iq", 11, int(pdf["label"].iloc[0])) + infos
+            out += b"\0" * (-len(out) % 32) + data
+        filesystem, where = tensors.locate(folder)
+        filesystem.create_dir(where, recursive=True)
+        name = f"{where}/part-{int(pdf['label'].iloc[0]):03d}.{kind}"
+        with filesystem.open_output_stream(f"{name}.{os.getpid()}.draft") as f:
+            f.write(out)
+        filesystem.move(f"{name}.{os.getpid()}.draft", name)
+        return pd.DataFrame({"n": [len(items)]})
+
+    read(spark, sf_dir, "embeddings").groupBy("label").applyInPandas(write, "n long").agg(F.sum("n")).collect()  # ten labels, a file each
+    return folder
+
+
+def _tensor_rows(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    rows = tensors.tensors(spark, _tensor_files(spark, sf_dir, kind), kind)
+    values = rows.select("file", "name", "shape", dequant.gguf_dequantize(F.col("dtype"), F.col("data")).alias("v"))
+    total = F.aggregate(F.col("v.values").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
+    return values.select("file", "name", joined(F.col("shape")).alias("shape"), rounded(total, 4).alias("total"))
+
+
+def _tensors_sql(kind: str, shape: str) -> str:
+    return f"SELECT 'part-' || lpad(CAST(label AS VARCHAR), 3, '0') || '.{kind}' AS file, 'vec.' || vec_id || '.weight' AS name, '{shape}' AS shape, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total FROM embeddings"
+
+
+@query(_tensors_sql("safetensors", "8|8"))
+def q_safetensors_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tensor_rows(spark, sf_dir, "safetensors")
+
+
+@query(_tensors_sql("gguf", "8|8"))
+def q_gguf_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tensor_rows(spark, sf_dir, "gguf")
+
+
+@query("SELECT 'vec.7.weight' AS name, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total FROM embeddings WHERE vec_id = 7")
+def q_tensor_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tensor by name: the filter reaches the reader, which reads these bytes only."""
+    rows = tensors.tensors(spark, _tensor_files(spark, sf_dir, "safetensors")).where("name = 'vec.7.weight'")
+    values = rows.select("name", dequant.gguf_dequantize(F.col("dtype"), F.col("data")).alias("v"))
+    return values.select("name", rounded(F.aggregate(F.col("v.values").cast("array<double>"), F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query("SELECT 'part-' || lpad(CAST(label AS VARCHAR), 3, '0') || '.safetensors' AS file, count(*) AS tensors, CAST(sum(64) AS BIGINT) AS parameters, CAST(sum(256) AS BIGINT) AS bytes FROM embeddings GROUP BY label")
+def q_tensor_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tensors, parameters and bytes of each shard, from the headers alone."""
+    rows = tensors.tensors(spark, _tensor_files(spark, sf_dir, "safetensors"), data=False)
+    return rows.groupBy("file").agg(F.count("*").alias("tensors"), F.sum(vectors.num_elements(F.col("shape"))).alias("parameters"), F.sum(F.col("end") - F.col("start")).alias("bytes"))
+
+
+@query("SELECT 'part-' || lpad(CAST(label AS VARCHAR), 3, '0') || '.gguf' AS file, 'label' AS key, 'i64' AS type, CAST(label AS BIGINT) AS long_value FROM embeddings GROUP BY label")
+def q_gguf_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tensors.gguf_values(spark, _tensor_files(spark, sf_dir, "gguf")).select("file", "key", "type", "long_value")
+
+
+@query("SELECT vec_id, CAST(4 * 255 * len(list_filter(embedding, lambda x: x > 0)) AS BIGINT) AS mask_sum, CAST(256 AS BIGINT) AS pixels FROM embeddings")
+def q_mask_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as 8 by 8 logits, to masks of 16 by 16."""
+
+    @F.pandas_udf("struct<mask_sum:bigint,pixels:bigint>")
+    def masks(logits: pd.Series) -> pd.DataFrame:
+        made = [image.mask_of(np.asarray(x).reshape(8, 8), 16, 16) for x in logits]
+        return pd.DataFrame({"mask_sum": [int(m.astype(np.int64).sum()) for m in made], "pixels": [m.size for m in made]})
+
+    return read(spark, sf_dir, "embeddings").select("vec_id", masks("embedding").alias("m")).select("vec_id", "m.*")
+
+
+@query("SELECT vec_id, round(((vec_id % 256) / 255.0 - 0.5) / 0.25, 4) AS first, round((((vec_id + 1) % 256) / 255.0 - 0.5) / 0.25, 4) AS second FROM embeddings")
+def q_image_preprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat 4 by 4 images of bytes made from ids, resized to 2 by 2, less their mean, over their deviation."""
+
+    @F.pandas_udf("struct<first:double,second:double>")
+    def prepared(ids: pd.Series) -> pd.DataFrame:
+        pixels = [np.stack([np.full((4, 4), (int(i) + c) % 256, np.uint8) for c in range(3)], axis=2) for i in ids]
+        made = [image.preprocess(p, 2, 2, [0.5] * 3, [0.25] * 3) for p in pixels]
+        return pd.DataFrame({"first": [round(float(m[0, 0, 1, 1]), 4) for m in made], "second": [round(float(m[0, 1, 0, 1]), 4) for m in made]})
+
+    return read(spark, sf_dir, "embeddings").select("vec_id", prepared("vec_id").alias("p")).select("vec_id", "p.*")
+
+
+@query("SELECT vec_id, CAST((vec_id % 256 + 200) // 2 AS INTEGER) AS over, CAST(vec_id % 256 AS INTEGER) AS beside FROM embeddings")
+def q_mask_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @F.pandas_udf("struct<over:int,beside:int>")
+    def blended(ids: pd.Series) -> pd.DataFrame:
+        made = [image.overlay(np.full((1, 2, 4), int(i) % 256, np.uint8), np.array([[255, 0]]), (200, 200, 200)) for i in ids]
+        return pd.DataFrame({"over": [int(m[0, 0, 0]) for m in made], "beside": [int(m[0, 1, 0]) for m in made]})
+
+    return read(spark, sf_dir, "embeddings").select("vec_id", blended("vec_id").alias("b")).select("vec_id", "b.*")
+
+
+# ---- embedding, decoding, metadata ---------------------------------------------------------------------------------------
+
+
+def _lengths_encoder(ids: np.ndarray) -> np.ndarray:
+    """Stands in for a network: each id's state is (id, 1)."""
+    return np.stack([ids, np.ones_like(ids)], axis=2).astype(np.float64)
+
+
+class _WordLengths:
+    """Stands in for a tokenizer: a word's id is its number of characters."""
+
+    def encode(self, text: str) -> list[int]:
+        return [len(w) for w in text.split(" ") if w]
+
+
+@query("SELECT conv_id * 1000 + turn AS reference, round(mean / sqrt(mean * mean + 1), 6) AS x, round(1 / sqrt(mean * mean + 1), 6) AS y FROM (SELECT conv_id, turn, list_avg(list_transform(list_filter(string_split(text, ' '), lambda w: w <> ''), lambda w: length(w))) AS mean FROM conversations WHERE text <> '')")
+def q_embed_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokenize, bucket, encode in padded batches, pool without the padding, normalize."""
+    df = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("reference"), "text")
+    out = embed.embed(df, "reference", "text", _WordLengths(), _lengths_encoder)
+    return out.select("reference", rounded(F.col("embedding")[0]).alias("x"), rounded(F.col("embedding")[1]).alias("y"))
+
+
+@query("SELECT doc_id, md5(text) AS digest FROM documents")
+def q_decode_byte_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts through byte-level BPE ids and back."""
+    t = Tokenizer(fixtures.byte_level_spec())
+    decoded = decode_column(t, encode_ids_column(t, F.col("text")))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(decoded.cast("binary")).alias("digest"))
+
+
+@query("SELECT doc_id, md5(array_to_string(regexp_extract_all(text, '[^" + SPACE + "]+'), ' ')) AS digest FROM documents")
+def q_decode_word_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of known characters through WordPiece ids and back: white space becomes single spaces."""
+    t = Tokenizer(fixtures.character_spec())
+    decoded = decode_column(t, encode_ids_column(t, F.col("text")))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(decoded.cast("binary")).alias("digest"))
+
+
+@query("SELECT lang || '/' || source AS repo, CAST(0 AS INTEGER) AS ordinal, 'data/train-' || count(*) || '.parquet' AS name, CAST(sum(n_chars) AS BIGINT) AS size, CAST(135 AS BIGINT) AS pointer_size FROM documents GROUP BY lang, source")
+def q_hub_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata documents of repositories, made from the catalog, to their files."""
+    groups = read(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("size"))
+    sibling = F.struct(F.concat(F.lit("data/train-"), F.col("n").cast("string"), F.lit(".parquet")).alias("rfilename"), F.col("size"), F.struct(F.lit("s").alias("sha256"), F.col("size"), F.lit(135).alias("pointerSize")).alias("lfs"))
+    documents = groups.select(F.to_json(F.struct(F.concat_ws("/", "lang", "source").alias("id"), F.array(sibling).alias("siblings"))).alias("value"))
+    return hub.files(hub.repo_infos(documents), strict=True).select("repo", "ordinal", "name", "size", F.col("lfs.pointer_size").alias("pointer_size"))
+
+
+@query("SELECT doc_id, 'c' || doc_id AS commit, CASE WHEN doc_id % 2 = 0 THEN 'linked' ELSE 'plain' END AS etag, 'http://u' AS location, CASE WHEN doc_id % 3 = 0 THEN n_chars ELSE 5 END AS size FROM documents")
+def q_file_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked, sized = F.when(F.col("doc_id") % 2 == 0, '"linked"').otherwise(""), F.when(F.col("doc_id") % 3 == 0, F.col("n_chars").cast("string")).otherwise("")
+    headers = F.create_map(F.lit("x-repo-commit"), F.concat(F.lit("c"), F.col("doc_id").cast("string")), F.lit("etag"), F.lit('"plain"'), F.lit("x-linked-etag"), linked, F.lit("x-linked-size"), sized)
+    meta = hub.file_metadata(headers, F.lit("http://u"), F.lit(5).cast("long"))
+    return read(spark, sf_dir, "documents").select("doc_id", meta.alias("m")).select("doc_id", "m.*")
+
+
+@query("SELECT * FROM (VALUES ('doc_id', 'DocID', 'INT64', 'bigint', false), ('text', 'Text', 'BYTE_ARRAY', 'string', false), ('lang', 'Lang', 'BYTE_ARRAY', 'string', false), ('source', 'Source', 'BYTE_ARRAY', 'string', false), ('n_chars', 'NChars', 'INT64', 'bigint', false)) t(path, name, physical_type, spark_type, repeated)")
+def q_schema_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema.report(spark, read(spark, sf_dir, "documents").schema)
