@@ -31,29 +31,33 @@ def punctuation_words(text: Column) -> Column:
     return _all(text, f"[{PUNCT}]|[^{PUNCT}]+")
 
 
+#: Characters of no text that open and close a match, or part two neighbours, while a text is being split.
+OPEN, CLOSE, PART = "\ue000", "\ue001", "\ue002"
+MARKS = OPEN + CLOSE + PART
+
+
 def split_words(text: Column, pattern: str, behavior: str = "removed", literal: bool = False, invert: bool = False) -> Column:
-    """Split at a pattern's matches (with invert: at what lies between) and treat these as behavior says. No empty words."""
+    """Split at a pattern's matches (with invert: at what lies between) and treat these as behavior says. No empty words.
+
+    Matches get marks around them; each behavior takes some marks away before the text is split at the others.
+    """
     found = re.escape(pattern) if literal else pattern
     behavior = re.sub("(?<!^)(?=[A-Z])", "_", behavior).lower()
     if behavior not in BEHAVIORS:
         raise ValueError(f"unknown behavior {behavior}")
-    # A mark that no text holds goes around each match: of the pieces between marks every second one is a match.
-    marked = F.split(F.regexp_replace(text, f"(?:{found})", "\ue000$0\ue000"), "\ue000")
-    pieces = F.transform(marked, lambda p, i: F.struct(p.alias("p"), ((i % 2 == 1) != F.lit(invert)).alias("cut")))
-    pieces = F.filter(pieces, lambda x: x["p"] != "")
+    marked = F.regexp_replace(text, f"(?:{found})", f"{OPEN}$0{CLOSE}")
+    if invert:
+        swapped = F.concat(F.lit(OPEN), F.translate(marked, OPEN + CLOSE, CLOSE + OPEN), F.lit(CLOSE))
+        marked = F.replace(swapped, F.lit(OPEN + CLOSE), F.lit(PART))
     if behavior == "removed":
-        return F.transform(F.filter(pieces, lambda x: ~x["cut"]), lambda x: x["p"])
-    if behavior == "isolated":
-        return F.transform(pieces, lambda x: x["p"])
-    last, empty = lambda acc: F.element_at(acc, -1), F.array().cast("array<struct<p:string,cut:boolean>>")
-    joined = lambda acc, x: F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.concat(last(acc)["p"], x["p"]).alias("p"), x["cut"].alias("cut"))))
-    joins = {
-        "contiguous": lambda acc, x: last(acc)["cut"] == x["cut"],
-        "merged_with_previous": lambda acc, x: x["cut"] & ~last(acc)["cut"],
-        "merged_with_next": lambda acc, x: last(acc)["cut"] & ~x["cut"],
-    }[behavior]
-    merged = F.aggregate(pieces, empty, lambda acc, x: F.when((F.size(acc) > 0) & joins(acc, x), joined(acc, x)).otherwise(F.concat(acc, F.array(x))))
-    return F.transform(merged, lambda x: x["p"])
+        marked = F.regexp_replace(marked, f"{OPEN}[^{CLOSE}]*{CLOSE}", OPEN)
+    elif behavior == "contiguous":
+        marked = F.replace(marked, F.lit(CLOSE + OPEN), F.lit(""))
+    elif behavior == "merged_with_previous":
+        marked = F.regexp_replace(marked, f"(?<=[^{MARKS}]){OPEN}", "")
+    elif behavior == "merged_with_next":
+        marked = F.regexp_replace(marked, f"{CLOSE}(?=[^{MARKS}])", "")
+    return F.filter(F.split(marked, f"[{MARKS}]"), lambda w: w != "")
 
 
 def space_led_words(text: Column, prefix: bool = False) -> Column:

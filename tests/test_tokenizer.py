@@ -150,3 +150,14 @@ def test_sentence_piece():
     assert all(0 <= a <= b <= len("hello  world, café".encode()) for a, b in e.spans)
     with pytest.raises(ValueError):
         t.with_options(Options(max_len=3))
+
+
+@pytest.mark.parametrize("invert", [False, True])
+@pytest.mark.parametrize("behavior", ["removed", "isolated", "contiguous", "MergedWithPrevious", "merged_with_next"])
+def test_split_columns_are_split_functions(spark, behavior, invert):
+    from corpusflow.functions.words import split_words
+
+    texts = ["a-b--c", "--a-", "", "abc", "---", "é-\n-ü", "-a--b-"]
+    run = pre_tokenizer({"type": "Split", "pattern": {"Regex": "-"}, "behavior": behavior, "invert": invert})
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", split_words(F.col("t"), "-", behavior, invert=invert).alias("w"))
+    assert [r["w"] for r in df.orderBy("i").collect()] == [[w.text for w in run(Aligned(t))] for t in texts]
