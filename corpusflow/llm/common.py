@@ -15,17 +15,17 @@ from pyspark.sql.types import StructType
 SPACE = r"\x20\x09-\x0D"
 WORD = f"[^{SPACE}]+"
 #: Bounds of one Arrow batch that goes to a Python worker.
-BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Few rows and few bytes in a batch, as a text may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def bounded_batches(spark: SparkSession, times: int = 1) -> None:
+    """Few rows and few bytes in a batch, as a text may be long; `times` as many where work in step pays."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(times * BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(times * BATCH_BYTES))
 
 
 def over_arrow(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:

@@ -394,7 +394,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 2)
     return with_columns_of(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
 
 

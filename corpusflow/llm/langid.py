@@ -8,13 +8,13 @@ backpropagation through time.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +24,7 @@ from .common import bounded_batches, over_arrow, with_columns_of
 FIT_ROWS, FIT_CHARS, LANGS = 3000, 240, 64
 WIDTH, UNITS, EMBED = 24, 16, 12
 BLOCK, MEMO = 1 << 20, 300_000
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 PAD = 256
 
 
