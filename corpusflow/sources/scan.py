@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -53,20 +54,28 @@ def scan(spark: SparkSession, paths: str | list[str], schema: T.StructType | str
     return df.select(*((F.coalesce(c, _zero(f.dataType)) if zero_missing else c).alias(f.name) for c, f in zip(out, wanted.fields, strict=True)))
 
 
-def numbered(spark: SparkSession, paths: list[str], schema: T.StructType | str | None = None) -> DataFrame:
-    """scan() with `file_no` (place in paths) and `row_no` (from 0 over all files, in their order).
-
-    Counts of whole files come from footers; the row's place in its file from the reader: no shuffle.
-    """
+def file_counts(spark: SparkSession, paths: list[str]) -> list[tuple[str, int, int]]:
+    """(file, number of its path, rows) of all files below the paths, in order of paths and then of names; one job, which reads footers."""
     if not paths:
         raise ValueError("no files are selected")
-    names = [spark.read.parquet(p).select(F.col("_metadata.file_path").alias("f")).limit(1).collect() for p in paths]
-    starts, total = [], 0
-    for i, (p, f) in enumerate(zip(paths, names, strict=True)):
-        if f:
-            starts.append((f[0]["f"], i, total))
-            total += spark.read.parquet(p).count()
-    base = spark.read.parquet(*paths).select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    frame = spark.read.parquet(*paths)
+    rows = frame.groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count("*").alias("n")).collect()  # one a file
+    bare = lambda f: re.sub("^file:/+", "/", f)  # noqa: E731  one file's URI has one slash or three
+    counts = {bare(r["f"]): (r["f"], r["n"]) for r in rows}
+    out = []
+    for i, p in enumerate(paths):
+        for f in sorted(spark.read.schema(frame.schema).parquet(p).inputFiles()):
+            name, n = counts.get(bare(f), (f, 0))
+            out.append((name, i, n))
+    return out
+
+
+def _numbered(spark: SparkSession, files: list[tuple[str, int, int]], first: int, schema: T.StructType | str | None) -> DataFrame:
+    starts, total = [], first
+    for f, i, n in files:
+        starts.append((f, i, total))
+        total += n
+    base = spark.read.parquet(*(f for f, _, _ in files)).select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
     if schema is not None:
         wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         have = {f.name: f.dataType for f in base.schema.fields}
@@ -75,18 +84,17 @@ def numbered(spark: SparkSession, paths: list[str], schema: T.StructType | str |
     return base.join(F.broadcast(table), "__file").withColumn("row_no", F.col("__start") + F.col("__row")).drop("__file", "__row", "__start")  # a row for each file
 
 
+def numbered(spark: SparkSession, paths: list[str], schema: T.StructType | str | None = None) -> DataFrame:
+    """The columns of scan() with `file_no` (place in paths) and `row_no` (from 0 over all files, in their order); rows aren't shuffled."""
+    return _numbered(spark, file_counts(spark, paths), 0, schema)
+
+
 def scan_from(spark: SparkSession, paths: list[str], at: int, schema: T.StructType | str | None = None) -> DataFrame:
-    """Rows from global number `at` on (clamped to what there is), in order. Files before it aren't opened."""
-    at, left = max(0, at), []
-    for i, p in enumerate(paths):
-        n = spark.read.parquet(p).count()
-        if at >= n and i < len(paths) - 1:
-            at -= n
-            continue
-        left = paths[i:]
-        break
-    df = numbered(spark, left or paths[-1:], schema)
-    return df.where(F.col("row_no") >= at).orderBy("row_no").drop("row_no", "file_no")
+    """Rows from global number `at` on (clamped to what there is), in order. Of files before it only footers are read."""
+    files, first = file_counts(spark, paths), 0
+    while len(files) > 1 and first + files[0][2] <= at:
+        first += files.pop(0)[2]
+    return _numbered(spark, files, first, schema).where(F.col("row_no") >= at).orderBy("row_no").drop("row_no", "file_no")
 
 
 def dataset_scan(spark: SparkSession, files: DataFrame, root: str, config: str = "", split: str = "", schema: T.StructType | str | None = None) -> DataFrame | None:
