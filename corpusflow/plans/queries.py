@@ -566,8 +566,6 @@ def _tensor_files(spark: SparkSession, sf_dir: str, kind: str) -> str:
     folder = shared_folder(spark, kind)
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        from pyarrow import fs
-
         items = {f"vec.{i}.weight": np.asarray(v, "<f4") for i, v in zip(pdf["vec_id"], pdf["embedding"], strict=True)}
         data, head, infos, at = b"".join(a.tobytes() for a in items.values()), {"__metadata__": {"label": str(pdf["label"].iloc[0])}}, b"", 0
         text = lambda t: struct.pack("<Q", len(t.encode())) + t.encode()
