@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chars, names, shapes, vectors, words
 from ..operators import aggregates, bucket, embed, image, similarity
+from ..operators.parallel import spread
 from ..operators.tokenizer import Options, Tokenizer, decode_column, encode_ids_column, tokens_table
 from ..sources import catalog, dequant, hub, scan, schema, tensors
 from . import fixtures
@@ -39,6 +40,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for work on their texts: over all cores, also where the table is one small file."""
+    return spread(read(spark, sf_dir, "documents"))
+
+
 def shared_folder(spark: SparkSession, kind: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share; a local master may go without that setting."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -220,12 +226,12 @@ def q_lowercase_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, md5(nfc_normalize(text)) AS digest FROM documents")
 def q_nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", F.md5(chars.unicode_form(F.col("text"), "NFC").cast("binary")).alias("digest"))
+    return texts(spark, sf_dir).select("doc_id", F.md5(chars.unicode_form(F.col("text"), "NFC").cast("binary")).alias("digest"))
 
 
 @query("SELECT doc_id, md5(strip_accents(text)) AS digest FROM documents")
 def q_strip_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", F.md5(chars.strip_accents(F.col("text")).cast("binary")).alias("digest"))
+    return texts(spark, sf_dir).select("doc_id", F.md5(chars.strip_accents(F.col("text")).cast("binary")).alias("digest"))
 
 
 @query(r"SELECT doc_id, md5(regexp_replace(text, '[\t\n\r]', ' ', 'g')) AS digest FROM documents")
@@ -235,7 +241,7 @@ def q_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _words_query(make: Callable[[Column], Column]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return read(spark, sf_dir, "documents").select("doc_id", make(F.col("text")).alias("w")).select("doc_id", F.size("w").cast("long").alias("n"), F.md5(joined(F.col("w")).cast("binary")).alias("digest"))
+        return texts(spark, sf_dir).select("doc_id", make(F.col("text")).alias("w")).select("doc_id", F.size("w").cast("long").alias("n"), F.md5(joined(F.col("w")).cast("binary")).alias("digest"))
 
     return run
 
@@ -264,7 +270,7 @@ for _name, _make, _sql in (
 
 
 def _distinct_words(spark: SparkSession, sf_dir: str, make: Callable[[Column], Column]) -> DataFrame:
-    return read(spark, sf_dir, "documents").select(F.explode(make(F.lower("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return texts(spark, sf_dir).select(F.explode(make(F.lower("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def _longest_match_sql(extract: str, whole_word_unknown: bool, prefix: str) -> str:
@@ -296,7 +302,7 @@ def q_unigram_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def q_bpe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merging has no SQL form; tests hold it against the tokenizers library."""
-    return read(spark, sf_dir, "documents").select("doc_id", encode_ids_column(Tokenizer(fixtures.bpe_spec()), F.col("text")).alias("ids")).select("doc_id", F.size("ids").alias("n"), F.md5(joined(F.col("ids")).cast("binary")).alias("digest"))
+    return texts(spark, sf_dir).select("doc_id", encode_ids_column(Tokenizer(fixtures.bpe_spec()), F.col("text")).alias("ids")).select("doc_id", F.size("ids").alias("n"), F.md5(joined(F.col("ids")).cast("binary")).alias("digest"))
 
 
 @query("SELECT doc_id, lang, 101 AS first_id, CAST(len(w) + 2 AS INTEGER) AS n, 102 AS last_id FROM (SELECT doc_id, lang, regexp_extract_all(text, '[^" + SPACE + "]+') AS w FROM documents)")
@@ -306,7 +312,7 @@ def q_postprocess_template(spark: SparkSession, sf_dir: str) -> DataFrame:
         "post_processor": {"type": "BertProcessing", "cls": ["[CLS]", 101], "sep": ["[SEP]", 102]},
     }
     ids = encode_ids_column(Tokenizer(spec), F.col("text"))
-    return read(spark, sf_dir, "documents").select("doc_id", "lang", ids.alias("ids")).select("doc_id", "lang", F.col("ids")[0].alias("first_id"), F.size("ids").alias("n"), F.element_at("ids", -1).alias("last_id"))
+    return texts(spark, sf_dir).select("doc_id", "lang", ids.alias("ids")).select("doc_id", "lang", F.col("ids")[0].alias("first_id"), F.size("ids").alias("n"), F.element_at("ids", -1).alias("last_id"))
 
 
 @query(f"""WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[{PUNCT}]|[^{SPACE}{PUNCT}]+')) AS word FROM benchmark)
@@ -323,7 +329,7 @@ def q_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^" + SPACE + "]+')) AS token FROM documents), v AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) - 1 AS id FROM w GROUP BY token QUALIFY id < 100) SELECT doc_id, count(id) AS known, CAST(coalesce(sum(id), 0) AS BIGINT) AS id_sum FROM w LEFT JOIN v USING (token) GROUP BY doc_id")
 def q_vocab_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens to ids by a join with a vocabulary of a hundred, whose size bounds what is broadcast."""
-    found = read(spark, sf_dir, "documents").select("doc_id", F.explode(words.whitespace_words(F.col("text"))).alias("token"))
+    found = texts(spark, sf_dir).select("doc_id", F.explode(words.whitespace_words(F.col("text"))).alias("token"))
     top = found.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(100)
     vocab = top.withColumn("id", (F.expr("row_number() over (order by n desc, token)") - 1).cast("long")).select("token", "id")
     return found.join(F.broadcast(vocab), "token", "left").groupBy("doc_id").agg(F.count("id").alias("known"), F.coalesce(F.sum("id"), F.lit(0)).alias("id_sum"))
@@ -344,7 +350,7 @@ _TWO_BIT = "CASE WHEN m <= 2 THEN m WHEN m = top THEN m WHEN m <= top + top // 2
 
 
 def _lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", F.size(words.whitespace_words(F.col("text"))).alias("n"))
+    return texts(spark, sf_dir).select("doc_id", F.size(words.whitespace_words(F.col("text"))).alias("n"))
 
 
 _LENGTHS = f"lengths AS (SELECT doc_id, CAST(len(regexp_extract_all(text, '[^{SPACE}]+')) AS INTEGER) AS n FROM documents)"
@@ -387,7 +393,7 @@ def q_custom_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _word_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as ids: the length of each word."""
-    return read(spark, sf_dir, "documents").select("doc_id", F.transform(words.whitespace_words(F.col("text")), lambda w: F.length(w)).alias("ids"))
+    return texts(spark, sf_dir).select("doc_id", F.transform(words.whitespace_words(F.col("text")), lambda w: F.length(w)).alias("ids"))
 
 
 def _batches(spark: SparkSession, sf_dir: str, padded: bool = False) -> DataFrame:
@@ -695,7 +701,7 @@ def q_decode_byte_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts through byte-level BPE ids and back."""
     t = Tokenizer(fixtures.byte_level_spec())
     decoded = decode_column(t, encode_ids_column(t, F.col("text")))
-    return read(spark, sf_dir, "documents").select("doc_id", F.md5(decoded.cast("binary")).alias("digest"))
+    return texts(spark, sf_dir).select("doc_id", F.md5(decoded.cast("binary")).alias("digest"))
 
 
 @query("SELECT doc_id, md5(array_to_string(regexp_extract_all(text, '[^" + SPACE + "]+'), ' ')) AS digest FROM documents")
@@ -703,7 +709,7 @@ def q_decode_word_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of known characters through WordPiece ids and back: white space becomes single spaces."""
     t = Tokenizer(fixtures.character_spec())
     decoded = decode_column(t, encode_ids_column(t, F.col("text")))
-    return read(spark, sf_dir, "documents").select("doc_id", F.md5(decoded.cast("binary")).alias("digest"))
+    return texts(spark, sf_dir).select("doc_id", F.md5(decoded.cast("binary")).alias("digest"))
 
 
 @query("SELECT lang || '/' || source AS repo, CAST(0 AS INTEGER) AS ordinal, 'data/train-' || count(*) || '.parquet' AS name, CAST(sum(n_chars) AS BIGINT) AS size, CAST(135 AS BIGINT) AS pointer_size FROM documents GROUP BY lang, source")
