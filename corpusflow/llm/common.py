@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.parallel import spread
+
 #: A word is a run of anything but these bytes (ASCII white space); the same class in Java, RE2 and Python.
 SPACE = r"\x20\x09-\x0D"
 WORD = f"[^{SPACE}]+"
@@ -29,13 +31,13 @@ def bounded_batches(spark: SparkSession, times: int = 1) -> None:
 
 
 def over_arrow(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """mapInArrow; at a partition's end the worker, which may then idle beside other stages, gives back what Arrow holds."""
+    """mapInArrow, over all cores; at a partition's end the worker, which may then idle beside other stages, gives back what Arrow holds."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
         pa.default_memory_pool().release_unused()
 
-    return rows.mapInArrow(whole, schema)
+    return spread(rows).mapInArrow(whole, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.parallel import spread
 from .common import SPACE, cut, salted_join, with_columns_of
 
 #: Leaves up to which their keys are broadcast (32 bytes each), else joined.
@@ -96,7 +97,7 @@ def dedup_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.7, min_do
     Null texts stay null, with 0 lines. A document may lose all lines: its text is then empty. An empty table gives no rows.
     """
     with_columns_of(docs, ["doc_id", "text"])
-    kept = [f"__k{i}" for i, _ in enumerate(keep or ["doc_id"])]
+    docs, kept = spread(docs), [f"__k{i}" for i, _ in enumerate(keep or ["doc_id"])]
     rows = docs.select(*(F.col(f"`{c}`").alias(k) for k, c in zip(kept, keep or ["doc_id"], strict=True)), F.col("doc_id").cast("long").alias("__doc"), F.xxhash64("text").alias("__th"), F.col("text").alias("__text"))
     gone = templates(docs.select("doc_id", "text"), depth, similarity, min_docs)
     both = rows.join(gone, F.col("__doc").eqNullSafe(F.col("doc")) & (F.col("__th") == F.col("th")), "left")
