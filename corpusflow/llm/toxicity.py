@@ -81,9 +81,11 @@ class Counts:
         return out
 
 
-def _likeness(text: str) -> tuple[int, ...]:
-    """The three least hashes of a text's words: alike for near copies, seldom for others."""
-    return tuple(sorted({zlib.crc32(w.encode()) for words in words_of(text) for w in set(words)})[:3])
+def _likeness(text: str) -> int:
+    """The least hash of a text's runs of five words: alike for most near copies, hardly ever for others."""
+    words = [w for some in words_of(text) for w in some]
+    runs = zip(*(words[i:] for i in range(5)), strict=False) if len(words) >= 5 else [words]
+    return min(zlib.crc32(" ".join(r).encode()) for r in runs)
 
 
 def fit_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> pd.DataFrame:

@@ -32,7 +32,7 @@ ODD = [None, "", " ", "\n\n", "a", "é" * 5000, "x" * 30000, "<|endoftext|> a<|e
 
 def toxic_corpus(n=400):
     rng = random.Random(3)
-    clean = [f"word{i}" for i in range(200)]
+    clean = [f"{a}{b}{c}" for a in ("thing", "onwh", "red", "mat", "sat") for b in "aeioubcd" for c in ("ly", "er", "en", "st", "ou")]
     bad = ["scumlike", "scumly", "vileness", "vilely"]
     rows, labels = [], []
     for i in range(n):
