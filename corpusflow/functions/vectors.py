@@ -26,8 +26,9 @@ def norm(a: Column) -> Column:
 
 
 def l2_normalize(a: Column, least: float = 1e-12) -> Column:
-    """Over the norm, or over `least` where that is larger."""
-    return F.transform(a.cast("array<double>"), lambda x: x / F.greatest(norm(a), F.lit(least)))
+    """Over the norm, or over `least` where that is larger. The norm is worked out once, not for each component."""
+    a = a.cast("array<double>")
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x, lambda s: F.transform(a, lambda x: x / F.greatest(F.sqrt(s), F.lit(least))))
 
 
 def cosine(a: Column, b: Column, least: float = 1e-12) -> Column:
