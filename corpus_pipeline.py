@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import bpe, line_dedup, mixing, simhash, toxicity
+from corpusflow.llm import bpe, line_dedup, mixing, shingles, toxicity
 from corpusflow.llm.common import shared_dir, table
 from corpusflow.llm.queries import tokenizer_path
 
@@ -24,8 +24,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document of least doc_id."""
-    return simhash.one_of_each(docs)
+    """Of each group of near duplicates, linked by 0.8 or more of similarity of five-word shingles, the document of least doc_id."""
+    return shingles.one_of_similar(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
