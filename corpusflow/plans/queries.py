@@ -441,17 +441,17 @@ def q_rows_of_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q_stream_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as a stream of files through the stateful bucketizer; with a delay of 0 a second micro-batch flushes the rest."""
-    from ..streaming.bucketizer import bucketize
+    """Documents as a stream of files through the stateful bucketizer; what is pending when it ends follows as partial batches."""
+    from ..streaming.bucketizer import OUTPUT, bucketize, remaining
 
     folder, name = shared_folder(spark, "stream"), f"stream_{uuid.uuid4().hex}"
-    src = read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("reference"), F.transform(words.whitespace_words(F.col("text")), lambda w: F.length(w)).alias("ids"))
+    src = texts(spark, sf_dir).select(F.col("doc_id").cast("string").alias("reference"), F.transform(words.whitespace_words(F.col("text")), lambda w: F.length(w)).alias("ids"))
     src.write.mode("overwrite").parquet(f"{folder}/in")
     stream = spark.readStream.schema(src.schema).parquet(f"{folder}/in")
-    out = bucketize(stream, F.col("ids"), F.col("reference"), shapes.by_two_bit(4, 16), pad=0)
+    out = bucketize(stream, F.col("ids"), F.col("reference"), shapes.by_two_bit(4, 16), pad=0, deal=32)
     run = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").queryName(name).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema("batch_size int, seq_len int, batch array<int>, references array<string>, non_pad_tokens int, error string").parquet(f"{folder}/out")
+    return spark.read.schema(OUTPUT).parquet(f"{folder}/out").union(remaining(spark, f"{folder}/state"))
 
 
 # ---- vectors -------------------------------------------------------------------------------------------------------------

@@ -84,3 +84,35 @@ def test_stream_delay(spark, tmp_path):
         rows = spark.read.schema(OUTPUT).parquet(f"{tmp_path}/out").collect()
     run.stop()
     assert [(r["batch"], r["references"], r["non_pad_tokens"]) for r in rows] == [([1, 2, 3, *[99] * 13], ["a", None], 3)]
+
+
+def test_stream_query_has_every_document_once(spark):
+    import os
+
+    if not os.path.isdir(data := "/root/testdata/sf0.001"):
+        pytest.skip("no driver tables")
+    from corpusflow.registry import QUERIES
+
+    rows = QUERIES["q_stream_buckets"](spark, data).collect()
+    docs = {str(r["doc_id"]): (r["text"] or "").split() for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+    assert sorted(x for r in rows for x in r["references"]) == sorted(docs)
+    for r in rows:
+        assert r["batch_size"] == len(r["references"]) <= 4 and len(r["batch"]) == r["batch_size"] * r["seq_len"] and r["error"] is None
+        for i, ref in enumerate(r["references"]):
+            cells = r["batch"][i * r["seq_len"] : (i + 1) * r["seq_len"]]
+            assert cells == [*map(len, docs[ref]), *[0] * (r["seq_len"] - len(docs[ref]))]
+
+
+def test_stream_rest(spark, tmp_path):
+    """Nothing pending, and a whole batch beside a padded rest."""
+    from corpusflow.streaming.bucketizer import OUTPUT, bucketize, remaining
+
+    for n in (4, 6):
+        src = spark.range(n).select(F.col("id").cast("string").alias("ref"), F.array(F.lit(7)).alias("ids"))
+        src.write.parquet(f"{tmp_path}/in{n}")
+        out = bucketize(spark.readStream.schema(src.schema).parquet(f"{tmp_path}/in{n}"), F.col("ids"), F.col("ref"), shapes.by_power(4, 2, 2), 9, True)
+        out.writeStream.format("parquet").option("path", f"{tmp_path}/out{n}").option("checkpointLocation", f"{tmp_path}/state{n}").trigger(availableNow=True).start().awaitTermination()
+        rest = remaining(spark, f"{tmp_path}/state{n}", 9, True).collect()
+        done = spark.read.schema(OUTPUT).parquet(f"{tmp_path}/out{n}").collect()
+        assert [len([x for x in r["references"] if x]) for r in done] == [4] and [len([x for x in r["references"] if x]) for r in rest] == [2] * (n > 4)
+        assert all(r["batch"] == [7, 9, 7, 9, 9, 9, 9, 9] and r["batch_size"] == 4 for r in rest)
