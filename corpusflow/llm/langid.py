@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, over_arrow, with_columns_of
 
 #: Bounds of the fit: rows in all, characters of each (at a place chosen by hash), languages (the most frequent ones).
-FIT_ROWS, FIT_CHARS, LANGS = 3000, 240, 64
+FIT_ROWS, FIT_CHARS = 3000, 240
 WIDTH, UNITS, EMBED = 24, 16, 12
 BLOCK, MEMO = 1 << 20, 300_000
 LETTER = regex.compile(r"\p{L}")
@@ -183,25 +183,24 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, rows: int = 512,
     return net
 
 
-def fit(docs: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS, most_langs: int = LANGS) -> Network:
-    """From a bounded sample of the rows that aren't held out and have text and lang: those of least hash, as many of each language."""
+def fit(docs: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> Network:
+    """From a bounded sample of the rows that aren't held out and have text and lang: those of least hash, as many of each language, one at least."""
     known = with_columns_of(docs, ["doc_id", "text", "lang"]).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     hashed = known.select(F.col("lang").cast("string"), F.xxhash64("doc_id", "text").alias("h"), "text")
-    counts = hashed.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
+    counts = hashed.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()
     if not counts:
         return train([], [])
     each = -(-rows // len(counts))
-    # Rows of a language whose hash is in the lowest 2 * each / n part of its range; the limit bounds what ties may add.
-    share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 2.0 * each / r["n"])))))
-    low = (F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53)) < F.try_element_at(share, F.col("lang"))
+    # Rows of a language whose hash is in the lowest part of its range, where more than `each` are sure to be; of these the lowest.
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (2.0 * each + 40) / r["n"])) for r in counts], "lang string, share double")
+    low = (F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53)) < F.col("share")
     at = (F.pmod(F.col("h"), F.greatest(F.length("text") - chars, F.lit(0)) + 1) + 1).cast("int")
-    sample = hashed.where(low).select("lang", "h", F.substring(F.col("text"), at, F.lit(chars)).alias("text")).orderBy("h", "lang").limit(4 * rows).collect()
-    taken, texts, langs = dict.fromkeys([r["lang"] for r in counts], 0), [], []
-    for r in sample:
-        if taken[r["lang"]] < each:
-            taken[r["lang"]] += 1
-            texts.append(r["text"])
-            langs.append(r["lang"])
+    near = hashed.join(F.broadcast(shares), "lang").where(low).select("lang", "h", F.substring(F.col("text"), at, F.lit(chars)).alias("text"))
+    sample = near.withColumn("at", F.expr("row_number() over (partition by lang order by h)")).where(F.col("at") <= each).collect()
+    texts, langs = [], []
+    for r in sorted(sample, key=lambda r: (r["h"], r["lang"], r["text"])):
+        texts.append(r["text"])
+        langs.append(r["lang"])
     return train(texts, langs)
 
 
@@ -218,7 +217,7 @@ class Memory:
 
     def learn(self, windows: list[bytes]) -> np.ndarray:
         if new := list(dict.fromkeys(w for w in windows if w not in self.at)):
-            if len(self.at) + len(new) > MEMO and self.at:
+            if len(self.at) + len(new) > MEMO * 64 // max(64, len(self.net.langs)) and self.at:
                 self.forget()
                 new = list(dict.fromkeys(windows))
             self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))

@@ -109,6 +109,13 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in none} == {"und"} and langid.identify(df.limit(0)).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    """However many there are, and however few rows one has beside another."""
+    rows = [(i, f"word{chr(97 + i % 26)} text", f"l{i % 69}") for i in range(1000)] + [(5000 + i, "rare words", "zz") for i in range(4)]
+    net = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=100)
+    assert sorted(net.langs) == sorted({lang for _, _, lang in rows}) and len(net.langs) == 70
+
+
 def test_pooling_doesnt_depend_on_batches(monkeypatch):
     net, lots = langid.Network.new(["a", "b"]), ["ab cd " * 50, "x" * 100, "cd ab", "é ü ß"]
     whole = langid.Memory(net).batch(lots)
