@@ -106,8 +106,8 @@ def fit_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: in
     return found.assign(weight=[of[t] / have[t] for t in found["toxic"]])
 
 
-def fit_model(found: pd.DataFrame, features: int = FEATURES, steps: int = 400) -> Model:
-    """Chooses features whose share of toxic and of clean rows differs most (z of the log odds), grades the rows, fits by Adam."""
+def fit_model(found: pd.DataFrame, features: int = FEATURES, steps: int = 400, least: float = 3.5) -> Model:
+    """Chooses features whose share of toxic and of clean rows differs most (z of the log odds, over `least`), grades the rows, fits by Adam."""
     y = found["toxic"].to_numpy(np.int64)
     if len(set(y.tolist())) < 2:
         return Model({}, np.zeros(0), np.full(GRADES - 1, 60.0))
@@ -122,8 +122,7 @@ def fit_model(found: pd.DataFrame, features: int = FEATURES, steps: int = 400) -
 
     often = (f for f in seen[0] | seen[1] if seen[0][f] + seen[1][f] >= 3 and seen[0][f] < n[0] and seen[1][f] < n[1])
     ranked = sorted(((z(f), f) for f in often), key=lambda x: (-abs(x[0]), x[1]))
-    # A sign of a class is surely (z; more rows hold more features that may seem so) and much (six times) more frequent there.
-    least = 2.5 + min(1.0, n[1] / 1000)
+    # A sign of a class is surely (z, by one bar for tables of any size) and much (six times) more frequent there.
     times = {f: (seen[1][f] + 0.5) / n[1] / ((seen[0][f] + 0.5) / n[0]) for v, f in ranked if abs(v) > least}
     chosen = [f for _, f in ranked if f in times and not 1 / 6 < times[f] < 6][:features]
     markers = {f for f in chosen if times[f] > 1 and not f.endswith("*")}

@@ -72,6 +72,15 @@ def test_toxicity_edges(spark):
 # ---- languages
 
 
+def test_one_bar_for_features_of_any_fit():
+    """Of 40 toxic and 40 clean rows, 14 and 0 are a z of 2.6, 35 and 2 one of 7."""
+    import pandas as pd
+
+    rows = [(f"plain {'weak ' * (i < 14)}{'strong' * (i < 35)}", 1, 1.0) for i in range(40)] + [(f"plain {'strong' * (i < 2)}", 0, 1.0) for i in range(40)]
+    model = toxicity.fit_model(pd.DataFrame(rows, columns=["text", "toxic", "weight"]))
+    assert "strong" in model.features and "weak" not in model.features
+
+
 def test_gradients_are_right():
     net = langid.Network.new(["a", "b", "c"])
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
