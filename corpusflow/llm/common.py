@@ -73,11 +73,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def salted_join(large: DataFrame, small: DataFrame, key: str, spread: Column, how: str = "inner", salts: int = 8) -> DataFrame:
+def salted_join(large: DataFrame, small: DataFrame, key: str | list[str], spread: Column, how: str = "inner", salts: int = 8) -> DataFrame:
     """Join on key, where a key may hold a large part of `large`: its rows are dealt to `salts` tasks by `spread`; `small` has each key once."""
     left = large.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = small.withColumn("__salt", F.explode(F.array(*(F.lit(i) for i in range(salts)))))
-    return left.join(right, [key, "__salt"], how).drop("__salt")
+    return left.join(right, [*([key] if isinstance(key, str) else key), "__salt"], how).drop("__salt")
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -103,6 +103,38 @@ def connected_components(links: DataFrame) -> DataFrame:
     return links.select(F.col("b").alias("node"), F.col("a").alias("root")).union(links.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
+def others_hash(docs: DataFrame, names: list[str]) -> Column:
+    """A hash of the columns but `names`, which tells rows apart that are equal in those; columns without a hash are left out."""
+    told = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.name not in names and not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    return F.xxhash64(F.lit(0), *told)
+
+
+def row_keys(docs: DataFrame) -> list[Column]:
+    """doc_id, th and rk: what tells rows apart are their id, a hash of their text and one of their other columns."""
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), others_hash(docs, ["doc_id", "text"]).alias("rk")]
+
+
+def heads_only(docs: DataFrame, rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """docs with one row of each group, in its columns: that of least doc_id (null last), then by the hashes; of equal rows one.
+
+    rows has row_keys() and `key` for each row of docs, labels has (key, root), each key once; rows of one root are a group.
+    """
+    me = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "th", "rk")
+    each = cut(rows.groupBy(key, "doc_id", "th", "rk").agg(F.count("*").alias("n")))
+    rooted = labels.join(each.groupBy(key).agg(F.min(me).alias("head")), key)
+    keep = rooted.groupBy("root").agg(F.min("head").alias("keep"))
+    kept = salted_join(rooted.select(key, "root"), keep, "root", F.col(key)).select(key, "keep")
+    told = cut(salted_join(each, kept, key, F.col("th")).select(F.col("doc_id").alias("__gd"), F.col("th").alias("__gt"), F.col("rk").alias("__gr"), "n", (me == F.col("keep")).alias("stays")).where("n > 1 or not stays"))
+    names = [f"__c{i}" for i, _ in enumerate(docs.columns)]
+    keys = [k.alias(n) for k, n in zip(row_keys(docs), ("__d", "__t", "__r"), strict=True)]
+    mine = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)), *keys)
+    same = F.col("__d").eqNullSafe(F.col("__gd")) & (F.col("__t") == F.col("__gt")) & (F.col("__r") == F.col("__gr"))
+    back = lambda df: df.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))
+    out = back(mine.join(told, same, "left_anti"))
+    again = told.where("stays")
+    return out if again.isEmpty() else out.unionByName(back(mine.join(again, same, "left_semi").dropDuplicates(["__d", "__t", "__r"])))
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indices start, start + 1, ... of every range, one after the other."""
     ends = np.cumsum(lengths)

@@ -1,9 +1,10 @@
-"""Near copies by the similarity of their word shingles, the pipeline's near-dedup.
+"""SimHash near-dedup up to a similarity of word shingles, the pipeline's stage.
 
 A text's set has the XXH64 hashes of its runs of `width` words. Two texts are linked if their sets' Jaccard similarity is
-`least` or more. Bands of MinHash values bring texts together, and each pair in a bucket is then compared exactly; of a
-bucket beyond TILE members, each pair of blocks is a task of its own. With 40 bands of 4, a pair at 0.8 shares no bucket
-with probability 7e-10, nearer pairs less.
+`least` or more. Candidates are the texts of one component of SimHash's ball hashing, by the sets' fingerprints, and those
+that share a band of MinHash values: at 0.8 fingerprints are some ten bits apart, and balls that wide can't be spelled out.
+Each pair in a bucket is compared exactly; of a bucket beyond TILE members, each pair of blocks is a task of its own. With
+40 bands of 4, a pair at 0.8 shares no bucket with probability 7e-10, nearer pairs less.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected_components, cut, over_arrow, with_columns_of
-from .simhash import _word_blocks
+from .common import bounded_batches, connected_components, cut, heads_only, over_arrow, row_keys, with_columns_of
+from .simhash import _word_blocks, fingerprint_roots, majority
 
 BANDS, ROWS, TILE = 40, 4, 512
 #: Candidates up to which their ids are broadcast, else joined.
@@ -68,18 +69,23 @@ def similar_pairs(sets: list[np.ndarray], least: tuple[int, int]) -> tuple[np.nd
 
 
 def _sets(docs: DataFrame, width: int, keys: bool) -> DataFrame:
-    """(doc_id, th, same, and keys or set): th is the text's hash, same that of its set."""
+    """(doc_id, th, rk, same, and fp, keys or set): th is the text's hash, same that of its set, fp the set's fingerprint."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
+    rows = docs.select("doc_id", "th", "rk", F.col("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shingles(x.as_py(), width) for x in b.column(2)]
+            found = [shingles(x.as_py(), width) for x in b.column(3)]
             same = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in found], np.uint64).view(np.int64)
-            last = pa.array([band_keys(s) for s in found], pa.list_(pa.int64())) if keys else pa.array([s.tobytes() for s in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same), last], names=["doc_id", "th", "same", "keys" if keys else "set"])
+            arrays, names = [*b.columns[:3], pa.array(same)], ["doc_id", "th", "rk", "same"]
+            if keys:
+                fp = np.array([np.packbits(2 * majority(s) > len(s), bitorder="little").view("<u8")[0] for s in found], np.uint64).view(np.int64)
+                arrays, names = [*arrays, pa.array(fp), pa.array([band_keys(s) for s in found], pa.list_(pa.int64()))], [*names, "fp", "keys"]
+            else:
+                arrays, names = [*arrays, pa.array([s.tobytes() for s in found], pa.binary())], [*names, "set"]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return over_arrow(rows, run, "doc_id long, th long, same long, " + ("keys array<long>" if keys else "set binary"))
+    return over_arrow(rows, run, "doc_id long, th long, rk long, same long, " + ("fp long, keys array<long>" if keys else "set binary"))
 
 
 def _tiles(nodes: DataFrame) -> DataFrame:
@@ -134,20 +140,22 @@ def _links(members: DataFrame, least: tuple[int, int]) -> DataFrame:
 
 
 def one_of_similar(docs: DataFrame, width: int = 5, least: tuple[int, int] = (4, 5)) -> DataFrame:
-    """docs without the rows whose text reaches one of a smaller doc_id by links of similarity; columns as they were.
+    """docs with one row of each group of texts that links of similarity join, that of least doc_id; columns as they were.
 
-    Rows without doc_id stay and link nothing. Null and empty texts, and those of white space, are alike. Rows of one doc_id
-    are judged by their own texts; rows equal in both go or stay together. An empty table gives no rows.
+    Null and empty texts, and those of white space, are alike. Rows of one doc_id are judged by their own texts. Rows without
+    doc_id go where a row with one stays; of equal rows one stays. An empty table gives no rows.
     """
-    texts = with_columns_of(docs, ["doc_id", "text"])
-    rows = cut(_sets(texts, width, keys=True))
-    nodes = cut(rows.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")))
-    tiles = cut(_tiles(nodes))
-    wanted = cut(tiles.select("same").distinct().join(nodes.select("same", "node"), "same"))
-    ids = wanted.select(F.col("node").alias("__node")).distinct()
-    chosen = texts.join(F.broadcast(ids) if wanted.count() <= FEW_TEXTS else ids, texts["doc_id"].cast("long") == F.col("__node"), "left_semi")
-    sets = _sets(chosen, width, keys=False).join(wanted, "same").where("doc_id = node").groupBy("same", "node").agg(F.first("set").alias("set"))
-    found = connected_components(_links(tiles.join(sets, "same"), least))
-    root = nodes.select("same", "node").join(found, "node", "left").select("same", F.coalesce("root", "node").alias("root"))
-    gone = rows.select("doc_id", "th", "same").join(root, "same").where("root < doc_id").select(F.col("doc_id").alias("__gone"), F.col("th").alias("__th")).distinct()
-    return docs.join(gone, (docs["doc_id"].cast("long") == gone["__gone"]) & (F.xxhash64(docs["text"]) == gone["__th"]), "left_anti")
+    texts = with_columns_of(docs, ["doc_id", "text"]).select(*row_keys(docs)[:2], "text")
+    rows = cut(_sets(docs.select(*row_keys(docs), "text"), width, keys=True))
+    # Each different set once, with the row that is asked for it.
+    nodes = rows.groupBy("same").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "th")).alias("head"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    nodes = cut(nodes)
+    near = fingerprint_roots(nodes).select("fp", F.array(F.xxhash64(F.lit("ball"), "root")).alias("ball"))
+    tiles = cut(_tiles(nodes.join(near, "fp").select("same", F.concat("keys", "ball").alias("keys"))))
+    wanted = cut(tiles.select("same").distinct().join(nodes.select("same", F.col("head.doc_id").alias("__id"), F.col("head.th").alias("__th")), "same"))
+    heads = wanted.select("__id", "__th")
+    chosen = texts.join(F.broadcast(heads) if wanted.count() <= FEW_TEXTS else heads, texts["doc_id"].eqNullSafe(F.col("__id")) & (texts["th"] == F.col("__th")), "left_semi")
+    sets = _sets(chosen.withColumn("rk", F.lit(0).cast("long")), width, keys=False).groupBy("same").agg(F.first("set").alias("set"))
+    found = connected_components(_links(tiles.join(sets, "same").withColumnRenamed("same", "node"), least))
+    labels = nodes.select("same").join(found, F.col("same") == F.col("node"), "left").select("same", F.coalesce("root", "same").alias("root"))
+    return heads_only(docs, rows, labels, "same")

@@ -116,7 +116,9 @@ def test_simhash_edges(spark, monkeypatch):
     got = Counter((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df).collect())
     assert got == {(5, 3): 2, (3, 3): 1, (None, 3): 1, (9, 9): 1}
     kept = simhash.one_of_each(df.withColumn("component_id", F.lit("x"))).collect()
-    assert sorted((r["doc_id"] or -1) for r in kept) == [-1, 3, 9] and kept[0]["component_id"] == "x"
+    assert sorted(r["doc_id"] for r in kept) == [3, 9] and kept[0]["component_id"] == "x"
+    two = spark.createDataFrame([(5, "a b c d e"), (5, "other words stand here now"), (3, "a b c d e"), (None, "no other row has this")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in simhash.near_duplicates(two).collect()) == [(0, 0), (3, 3), (5, 3), (5, 5)]
     assert simhash.near_duplicates(df.limit(0)).count() == 0
     long = " ".join(f"word{i}" for i in range(5000))
     whole = simhash.fingerprint(long.encode())

@@ -5,6 +5,7 @@ import random
 import pytest
 
 shingles = pytest.importorskip("corpusflow.llm.shingles")
+simhash = pytest.importorskip("corpusflow.llm.simhash")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 
@@ -47,8 +48,16 @@ def test_stage_is_brute_force(spark, monkeypatch, tile, few):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(want) and len(want) < len(rows) - 40
 
 
-def test_rows_that_share_ids(spark):
+@pytest.mark.parametrize("stage", ["shingles", "simhash"])
+def test_rows_that_share_ids(spark, stage):
+    """A row is lost only to a row of its group, whatever ids the rows have; of equal rows one stays."""
+    keep = shingles.one_of_similar if stage == "shingles" else simhash.one_of_each
     text, other = " ".join(map(str, range(30))), " ".join(map(str, range(50, 90)))
-    df = spark.createDataFrame([(5, text), (5, other), (3, text), (3, text), (None, text), (9, other)], "doc_id long, text string")
-    assert sorted((r["doc_id"] or 0, r["text"] == text) for r in shingles.one_of_similar(df).collect()) == [(0, True), (3, True), (3, True), (5, False)]
-    assert shingles.one_of_similar(df.limit(0)).count() == 0
+    rows = [(5, text, "x"), (5, other, "x"), (3, text, "x"), (3, text, "x"), (None, text, "x"), (9, other, "x"), (None, "own words of a row", None), (None, "own words of a row", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __th string")
+    kept = sorted((r["doc_id"] or 0, r["text"][:3]) for r in keep(df).collect())
+    assert kept == [(0, "own"), (3, "0 1"), (5, "50 ")] and keep(df).columns == df.columns
+    swapped = spark.createDataFrame([(1, text), (1, other), (0, text)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in keep(swapped).collect()) == [(0, text), (1, other)]
+    assert [tuple(r) for r in keep(spark.createDataFrame([(7, text)] * 50, "doc_id long, text string").repartition(3)).collect()] == [(7, text)]
+    assert keep(df.limit(0)).count() == 0
