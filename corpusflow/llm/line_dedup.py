@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..operators.parallel import spread
 from .common import SPACE, cut, salted_join, with_columns_of
 
-#: Leaves up to which their keys are broadcast (32 bytes each), else joined.
-FEW_LEAVES = 100_000
+#: Leaves up to which their keys are broadcast (17 bytes each, some 100 in a hash table), else joined.
+FEW_LEAVES = 300_000
 WILD = "<*>"
 
 
@@ -35,79 +35,86 @@ def tokens(norm: Column) -> Column:
 
 
 def _lines(docs: DataFrame, depth: int) -> DataFrame:
-    """(doc, th, no, norm, n, leaf) of lines that have a word; doc and th, the text's hash, name a document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    rows = rows.select("doc", "th", "no", generalised(F.col("line")).alias("norm")).where("norm <> ''")
+    """(doc, th, no, norm, n, l1, l2) of lines that have a word; doc and th, the text's hash, name a document, l1 and l2 a leaf."""
+    # Generalised within the array, so that no filter on lines repeats the work.
+    lines = F.transform(F.split("text", "\n"), generalised)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("th"), lines.alias("lines"))  # the text is hashed before lines multiply it
+    rows = rows.select("doc", "th", F.posexplode("lines").alias("no", "norm")).where("norm <> ''")
     n = F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
-    return rows.select("*", n.alias("n")).withColumn("leaf", F.xxhash64("n", F.substring_index("norm", " ", depth)))
+    rows = rows.select("*", n.alias("n"), F.substring_index("norm", " ", depth).alias("lead"))
+    return rows.select("doc", "th", "no", "norm", "n", F.xxhash64("n", "lead").alias("l1"), F.xxhash64(F.lit(1), "n", "lead").alias("l2"))
+
+
+LEAF, LINE = ["l1", "l2"], ["h1", "h2"]
 
 
 def _hashes() -> tuple[Column, Column]:
-    """Two 64-bit hashes name a line's tokens."""
+    """Two 64-bit hashes name a line's tokens, as two name a leaf."""
     return F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2")
 
 
-def templates(docs: DataFrame, depth: int = 3, similarity: float = 0.7, min_docs: int = 3) -> DataFrame:
-    """(doc, th, drop): for each document that loses lines, their numbers from 0. See dedup_lines()."""
-    lines = _lines(docs, depth)
-    # A template that recurs in min_docs documents stands in a leaf with as many lines; prose has few such leaves.
-    h1, h2 = _hashes()
-    leaves = lines.select("leaf", "n", h1).groupBy("leaf").agg(F.count("*").alias("times"), F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max("n").alias("n"))
-    leaves = cut(leaves.where(F.col("times") >= min_docs).select("leaf", ((F.col("lo") < F.col("hi")) & (F.col("n") > depth)).alias("wide")))
-    few = leaves.count() <= FEW_LEAVES
-    meet = lambda df, small, spread: df.join(F.broadcast(small), "leaf") if few else salted_join(df, small, "leaf", spread)
-    keys = cut(meet(lines.select("doc", "th", "no", "leaf", h1, h2), leaves.select("leaf"), F.col("h1")))
+def _by_place(found: Column, value: str) -> Column:
+    """Sorted structs of `at` and `value` as an array with the value at each place and null between, so that a place is looked up at once."""
+    gap = lambda e, i: e["at"] - F.when(i > 0, F.try_element_at(found, i)["at"]).otherwise(F.lit(-1)) - 1
+    return F.flatten(F.transform(found, lambda e, i: F.concat(F.array_repeat(F.lit(None).cast("string"), gap(e, i)), F.array(e[value]))))
+
+
+def templates(docs: DataFrame, depth: int = 3, similarity: float = 0.7, min_docs: int = 3, long_words: int = 10) -> DataFrame:
+    """(doc, th, drop, n): for each document that loses lines, an array that is 'x' at the numbers of these lines, from 0, and how many they are. See dedup_lines()."""
+    lines, enough = _lines(docs, depth), lambda count: F.when(F.col("n") >= long_words, F.least(F.lit(2), F.lit(min_docs))).otherwise(F.lit(min_docs)) <= F.col(count)
+    # The text is split once for the lines' keys, and once more for the tokens of leaves with different lines.
+    every = cut(lines.select("doc", "th", "no", "n", "l1", "l2", *_hashes()))
+    # A template that recurs in so many documents stands in a leaf with as many lines; prose has few such leaves.
+    leaves = every.groupBy(*LEAF).agg(F.count("*").alias("times"), F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max("n").alias("n"))
+    leaves = cut(leaves.where(enough("times")).select(*LEAF, ((F.col("lo") < F.col("hi")) & (F.col("n") > depth) & (F.col("times") >= min_docs)).alias("wide")))
+    many = leaves.agg(F.count("*").alias("all"), F.count_if("wide").alias("wide")).first()
+    meet = lambda df, small, n, spread: df.join(F.broadcast(small), LEAF) if n <= FEW_LEAVES else salted_join(df, small, LEAF, spread)
+    keys = meet(every, leaves.select(*LEAF), many["all"], F.col("h1"))
     # Only in a leaf with different lines may a template differ from its lines: each of these once, with how often it stands.
-    shared = meet(lines.select("leaf", "norm"), leaves.where("wide").select("leaf"), F.xxhash64("norm")).groupBy("leaf", "norm").agg(F.count("*").alias("times"))
+    shared = meet(lines.select(*LEAF, "norm"), leaves.where("wide").select(*LEAF), many["wide"], F.xxhash64("norm")).groupBy(*LEAF, "norm").agg(F.count("*").alias("times"))
     shared = cut(shared)
-    placed = shared.select("leaf", "times", F.posexplode(F.slice(tokens(F.col("norm")), depth + 1, 1 << 30)).alias("at", "token"))
-    token = placed.groupBy("leaf", "at", "token").agg(F.sum("times").alias("times"))
-    totals = shared.groupBy("leaf").agg(F.sum("times").alias("total"))
-    first = token.groupBy("leaf", "at").agg(F.max(F.struct("times", "token")).alias("best"))
-    fixed = first.join(totals, "leaf").where("2 * best.times > total").select("leaf", "at", F.col("best.token").alias("fixed"))
-    template = fixed.groupBy("leaf").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("at", "fixed")))).alias("fixed"))  # at most a line's tokens
-    words = salted_join(shared.select("leaf", "norm"), template, "leaf", F.xxhash64("norm")).select("leaf", "norm", "fixed", tokens(F.col("norm")).alias("words"))
-    agree = F.size(F.filter(F.slice("words", depth + 1, 1 << 30), lambda x, i: x.eqNullSafe(F.try_element_at(F.col("fixed"), i)))) + depth
-    members = words.where(agree >= F.size("words") * F.lit(similarity)).select(h1, h2, F.col("leaf").alias("of"))
+    placed = shared.select(*LEAF, "times", F.posexplode(F.slice(tokens(F.col("norm")), depth + 1, 1 << 30)).alias("at", "token"))
+    token = placed.groupBy(*LEAF, "at", "token").agg(F.sum("times").alias("times"))
+    totals = shared.groupBy(*LEAF).agg(F.sum("times").alias("total"))
+    first = token.groupBy(*LEAF, "at").agg(F.max(F.struct("times", "token")).alias("best"))
+    fixed = first.join(totals, LEAF).where("2 * best.times > total").select(*LEAF, "at", F.col("best.token").alias("fixed"))
+    template = fixed.groupBy(*LEAF).agg(F.sort_array(F.collect_list(F.struct("at", "fixed"))).alias("found")).select(*LEAF, _by_place(F.col("found"), "fixed").alias("fixed"))  # at most a line's tokens
+    words = salted_join(shared.select(*LEAF, "norm"), template, LEAF, F.xxhash64("norm")).select(*LEAF, "norm", "fixed", tokens(F.col("norm")).alias("words"))
+    agree = F.size(F.filter(F.slice("words", depth + 1, 1 << 30), lambda x, i: x.eqNullSafe(F.get(F.col("fixed"), i)))) + depth
+    members = words.where(agree >= F.size("words") * F.lit(similarity)).select(*_hashes(), F.lit(1).alias("member"))
     # A line's template: its leaf's, or itself.
-    named = cut(_joined_lines(keys, cut(members)))
+    joined = salted_join(keys, cut(members), LINE, F.xxhash64("doc", "no"), "left")
+    of = lambda leaf, own: F.when(F.col("member").isNotNull(), F.col(leaf)).otherwise(F.col(own))
+    named = cut(joined.select("doc", "th", "no", "n", of("l1", "h1").alias("t1"), of("l2", "h2").alias("t2")))
     # The first line of a document stands for its template there, so that counting documents needs no distinct count.
-    once = named.groupBy("t1", "t2", "doc", "th").agg(F.min("no").alias("no"))
-    recurring = once.groupBy("t1", "t2").agg(F.count("*").alias("docs"), F.min(F.struct("doc", "th", "no")).alias("keep")).where(F.col("docs") >= min_docs).select("t1", "t2", "keep")
-    found = salted_join(named, recurring.withColumnRenamed("t2", "__t2"), "t1", F.xxhash64("doc", "no")).where("t2 = __t2")
+    once = named.groupBy("t1", "t2", "doc", "th").agg(F.min("no").alias("no"), F.max("n").alias("n"))
+    recurring = once.groupBy("t1", "t2").agg(F.count("*").alias("docs"), F.min(F.struct("doc", "th", "no")).alias("keep"), F.max("n").alias("n")).where(enough("docs")).select("t1", "t2", "keep")
+    found = salted_join(named.drop("n"), recurring, ["t1", "t2"], F.xxhash64("doc", "no"))
     gone = found.where(~F.struct("doc", "th", "no").eqNullSafe(F.col("keep")))
-    return gone.groupBy("doc", "th").agg(F.collect_set("no").alias("drop"))
-
-
-def _joined_lines(keys: DataFrame, members: DataFrame) -> DataFrame:
-    """keys with t1, t2: the leaf of a member line, else the line's own hashes."""
-    members = members.select("h1", F.col("h2").alias("__h2"), "of")
-    own = salted_join(keys, members, "h1", F.xxhash64("doc", "no"), "left")
-    is_member = F.col("of").isNotNull() & (F.col("h2") == F.col("__h2"))
-    return own.select("doc", "th", "no", F.when(is_member, F.col("of")).otherwise(F.col("h1")).alias("t1"), F.when(is_member, F.lit(0)).otherwise(F.col("h2")).cast("long").alias("t2"))
+    gone = gone.groupBy("doc", "th").agg(F.sort_array(F.collect_set(F.struct(F.col("no").alias("at"), F.lit("x").alias("mark")))).alias("found"))
+    return gone.select("doc", "th", _by_place(F.col("found"), "mark").alias("drop"), F.size("found").alias("n"))
 
 
-def dedup_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.7, min_docs: int = 3, keep: list[str] | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.7, min_docs: int = 3, long_words: int = 10, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (default doc_id), text without dropped lines, n_lines and n_dropped.
 
-    Lines end at line feeds. A template that stands in min_docs documents or more keeps its first occurrence, by doc_id
-    (null first) and then by line; its other lines go, with their line feeds. Lines without a word always stay. Lines up to
-    `depth` tokens long are their own templates. Ties of a template's token: such a place is <*>. Rows equal in doc_id and
-    text are one document, and each of these rows is returned; rows of one doc_id with other texts are other documents.
-    Null texts stay null, with 0 lines. A document may lose all lines: its text is then empty. An empty table gives no rows.
+    Lines end at line feeds. A template that stands in min_docs documents or more, or one of `long_words` words or more that
+    stands in two, keeps its first occurrence, by doc_id (null first) and then by line; its other lines go, with their line
+    feeds: short lines meet by chance, long ones hardly. Lines without a word always stay. Lines up to `depth` tokens long are
+    their own templates, and so are those of a leaf with fewer than min_docs lines. Ties of a template's token: such a place is <*>. Rows equal in doc_id and text are one document, and
+    each of these rows is returned; rows of one doc_id with other texts are other documents. Null texts stay null, with 0
+    lines. A document may lose all lines: its text is then empty. An empty table gives no rows.
     """
     with_columns_of(docs, ["doc_id", "text"])
     docs, kept = spread(docs), [f"__k{i}" for i, _ in enumerate(keep or ["doc_id"])]
     rows = docs.select(*(F.col(f"`{c}`").alias(k) for k, c in zip(kept, keep or ["doc_id"], strict=True)), F.col("doc_id").cast("long").alias("__doc"), F.xxhash64("text").alias("__th"), F.col("text").alias("__text"))
-    gone = templates(docs.select("doc_id", "text"), depth, similarity, min_docs)
+    gone = templates(docs.select("doc_id", "text"), depth, similarity, min_docs, long_words)
     both = rows.join(gone, F.col("__doc").eqNullSafe(F.col("doc")) & (F.col("__th") == F.col("th")), "left")
-    lines = F.split("__text", "\n")
-    left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("drop", i)), "\n")
+    left = F.array_join(F.filter(F.split("__text", "\n"), lambda _, i: F.get("drop", i).isNull()), "\n")
     text = F.when(F.col("drop").isNull(), F.col("__text")).otherwise(left)
-    n_lines = F.when(F.col("__text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    n_dropped = F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long")
+    n_lines = F.when(F.col("__text").isNull(), 0).otherwise(F.octet_length("__text") - F.octet_length(F.replace("__text", F.lit("\n"), F.lit(""))) + 1).cast("long")
     out = [F.col(k).alias(c) for k, c in zip(kept, keep or ["doc_id"], strict=True)]
-    return both.select(*out, text.alias("text"), n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
+    return both.select(*out, text.alias("text"), n_lines.alias("n_lines"), F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def deduped_documents(docs: DataFrame, **how) -> DataFrame:

@@ -129,7 +129,7 @@ def test_simhash_edges(spark, monkeypatch):
 # ---- line dedup
 
 
-def plain_line_dedup(rows, depth=3, similarity=0.7, least=3):
+def plain_line_dedup(rows, depth=3, similarity=0.7, least=3, long=10):
     """rows: (doc_id, text). Lines kept, by the definition."""
     import re
 
@@ -144,7 +144,7 @@ def plain_line_dedup(rows, depth=3, similarity=0.7, least=3):
         leaves[len(w), w[:depth]].append(w)
     of = {}
     for leaf, ws in leaves.items():
-        if len(set(ws)) == 1 or leaf[0] <= depth:
+        if len(set(ws)) == 1 or leaf[0] <= depth or len(ws) < least:
             of |= {w: w for w in ws}
             continue
         fixed = []
@@ -156,8 +156,8 @@ def plain_line_dedup(rows, depth=3, similarity=0.7, least=3):
             of[w] = leaf if agree >= similarity * leaf[0] else w
     seen = defaultdict(list)
     for i, no, w in lines:
-        seen[of[w]].append((i, no))
-    drop = {x for spots in seen.values() if len({i for i, _ in spots}) >= least for x in spots[1:]}
+        seen[of[w], len(w)].append((i, no))
+    drop = {x for (_, n), spots in seen.items() if len({i for i, _ in spots}) >= (2 if n >= long else least) for x in spots[1:]}
     return {i: None if t is None else "\n".join(x for no, x in enumerate(t.split("\n")) if (i, no) not in drop) for i, t in rows}
 
 
@@ -200,6 +200,9 @@ def test_line_dedup_edges(spark):
     few = spark.createDataFrame([(1, line), (2, line), (2, "b")], "doc_id long, text string")
     assert [r["n_dropped"] for r in line_dedup.dedup_lines(few).collect()] == [0, 0, 0]
     assert "Python" not in line_dedup.dedup_lines(df)._jdf.queryExecution().executedPlan().toString()
+    ten = "these are ten words that stand in only two documents"
+    rows = [(1, f"{ten}\na b\n{line}"), (2, f"a b\n{ten}\nc d"), (3, line)]
+    assert [r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()] == [rows[0][1], "a b\nc d", line]
     long = "\n".join(f"line number x{i % 7} of a long text" for i in range(20000))
     out = line_dedup.dedup_lines(spark.createDataFrame([(i, long) for i in range(3)], "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r["n_dropped"] for r in out] == [19999, 20000, 20000]
