@@ -154,3 +154,8 @@ def indexed_path(path: str, index: int) -> str:
     """`out.png` to `out_2.png`."""
     stem, dot, ending = path.rpartition(".")
     return f"{stem}_{index}.{ending}" if dot else f"{path}_{index}"
+
+
+def expand_home(path: Column, home: Column) -> Column:
+    """`~` and `~/...` below home; other paths, `~name` among them, as they are."""
+    return F.when((path == "~") | path.startswith("~/"), F.concat(home, F.substring(path, F.lit(2), F.length(path)))).otherwise(path)

@@ -5,6 +5,8 @@ The network is given as a callable; arrays are numpy, and frames go through mapI
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,6 +39,83 @@ def preprocess(x: np.ndarray, height: int, width: int, mean: list[float], std: l
     return (x - np.asarray(mean, np.float32).reshape(1, -1, 1, 1)) / np.asarray(std, np.float32).reshape(1, -1, 1, 1)
 
 
+SIGNATURE = b"\x89PNG\r\n\x1a\n"
+#: Colour type of a PNG by its number of channels, and the other way round (fixed values).
+COLOURS, CHANNELS = {1: 0, 2: 4, 3: 2, 4: 6}, {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+
+
+def write_png(pixels: np.ndarray) -> bytes:
+    """(height, width) or (height, width, channels) of bytes as a PNG, unfiltered."""
+    x = pixels if pixels.ndim == 3 else pixels[:, :, None]
+    height, width, channels = x.shape
+    lines = np.concatenate([np.zeros((height, 1), np.uint8), x.astype(np.uint8).reshape(height, -1)], axis=1)
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", width, height, 8, COLOURS[channels], 0, 0, 0)
+    return SIGNATURE + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+
+
+def read_png(data: bytes) -> np.ndarray:
+    """(height, width, channels) of an 8-bit PNG that isn't interlaced; palettes are applied. ValueError for anything else."""
+    try:
+        return _read_png(data)
+    except (struct.error, zlib.error, IndexError) as e:
+        raise ValueError(f"not a whole PNG: {e}") from None
+
+
+def _read_png(data: bytes) -> np.ndarray:
+    if not data.startswith(SIGNATURE):
+        raise ValueError("not a PNG")
+    at, packed, palette, head = 8, b"", None, None
+    while True:
+        size, kind = struct.unpack_from(">I4s", data, at)
+        body = data[at + 8 : at + 8 + size]
+        if zlib.crc32(kind + body) != struct.unpack_from(">I", data, at + 8 + size)[0]:
+            raise ValueError("a PNG chunk is damaged")
+        if kind == b"IHDR":
+            head = struct.unpack(">IIBBBBB", body)
+        elif kind == b"PLTE":
+            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
+        elif kind == b"IDAT":
+            packed += body
+        elif kind == b"IEND":
+            break
+        at += 12 + size
+    if head is None or head[2] != 8 or head[3] not in CHANNELS or head[6]:
+        raise ValueError("only 8-bit PNGs without interlacing are read")
+    width, height, channels = head[0], head[1], CHANNELS[head[3]]
+    stride = width * channels
+    raw = zlib.decompress(packed)
+    if len(raw) != height * (stride + 1):
+        raise ValueError("a PNG's pixels don't fill its size")
+    lines = np.frombuffer(raw, np.uint8).reshape(height, stride + 1)
+    out = np.zeros((height + 1, stride), np.uint8)
+    for y in range(height):
+        out[y + 1] = _unfiltered(int(lines[y, 0]), lines[y, 1:], out[y], channels)
+    pixels = out[1:].reshape(height, width, channels)
+    return palette[pixels[:, :, 0]] if head[3] == 3 and palette is not None else pixels
+
+
+def _unfiltered(kind: int, line: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
+    """A line's bytes, by the bytes to their left and above them."""
+    if kind == 0:
+        return line
+    if kind == 2:
+        return line + above
+    if kind == 1:  # running sums of each channel
+        return np.cumsum(line.reshape(-1, step), axis=0, dtype=np.uint64).astype(np.uint8).ravel()
+    if kind not in (3, 4):
+        raise ValueError(f"unknown PNG filter {kind}")
+    out, up = [0] * step, [0] * step + above.tolist()
+    for i, x in enumerate(line.tolist()):
+        a, b, c = out[i], up[i + step], up[i]
+        if kind == 3:
+            near = a + b >> 1
+        else:
+            near = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
+        out.append(x + near & 255)
+    return np.array(out[step:], np.uint8)
+
+
 def prompt_points(points: list[tuple[int, int, int]], boxes: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """(1, 1, n, 2) places and (1, 1, n) labels: points, then of each box its corners (2, 3) and a filler (-1); nothing: a filler."""
     rows = [*points, *(r for a, b, c, d in boxes for r in ((a, b, 2), (c, d, 3), (0, 0, -1)))] or [(0, 0, -1)]

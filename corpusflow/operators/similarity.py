@@ -7,19 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import similarity
 
-#: Queries that are broadcast at most; beyond, they come in as many blocks.
-BLOCK = 10_000
+#: Queries, and bytes of their vectors, that are broadcast at most; beyond, they come in as many blocks.
+BLOCK, BLOCK_BYTES = 10_000, 64 << 20
 
 
 def pairs(queries: DataFrame, documents: DataFrame, measure: str = "cosine", query: tuple[str, str] = ("query_id", "vector"), document: tuple[str, str] = ("doc_id", "vector"), block: int = BLOCK) -> DataFrame:
     """(query_id, doc_id, score) of every query and document, as a similarity matrix has them.
 
-    The documents are never moved: the queries are broadcast, or, if there are more than `block`, dealt to blocks of about that
-    size, each broadcast in its turn.
+    The documents are never moved: the queries are broadcast, or, if there are more than `block` or their vectors are larger
+    than BLOCK_BYTES, dealt to blocks within both, each broadcast in its turn.
     """
     q = queries.select(F.col(query[0]).alias("query_id"), F.col(query[1]).alias("__q"))
     d = documents.select(F.col(document[0]).alias("doc_id"), F.col(document[1]).alias("__d"))
-    blocks = -(-q.count() // block) or 1
+    count, width = q.agg(F.count("*"), F.coalesce(F.max(F.size("__q")), F.lit(0))).first()
+    blocks = -(-count // max(1, min(block, BLOCK_BYTES // (8 * max(1, width) + 64)))) or 1
     parts = [q] if blocks == 1 else [q.where(F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks)) == i) for i in range(2 * blocks)]
     out = None
     for p in parts:

@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ENCODING = "struct<ids:array<int>,spans:array<struct<start:int,end:int>>,special_tokens_mask:array<int>>"
 
 
-def _shared(tokenizer: Any):
-    return SparkSession.getActiveSession().sparkContext.broadcast(tokenizer)
+#: Of each tokenizer that is still in use, its broadcast and the application that has it.
+_SHARED: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def _shared(tokenizer: Any) -> Broadcast:
+    """Sent to the workers once, however many columns use it; the context drops it when none does any more."""
+    context = SparkSession.getActiveSession().sparkContext
+    app, held = _SHARED.get(tokenizer, (None, None))
+    if app != context.applicationId:
+        _SHARED[tokenizer] = context.applicationId, (held := context.broadcast(tokenizer))
+    return held
 
 
 def encode_ids_column(tokenizer: Any, text: Column) -> Column:
@@ -81,7 +92,7 @@ def tokens_table(df: DataFrame, tokenizer: Any, key: str, text: str) -> DataFram
 
 def register_sql(spark: SparkSession, name: str, tokenizer: Any) -> None:
     """SQL functions <name>_encode(text) and <name>_decode(ids)."""
-    shared = spark.sparkContext.broadcast(tokenizer)
+    shared = _shared(tokenizer)
 
     @F.pandas_udf("array<int>")
     def encode(texts: pd.Series) -> pd.Series:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
 Piece = tuple[int, int, int]
@@ -35,6 +36,35 @@ def word_piece(vocab: dict[str, int], unk: int | None, prefix: str = "##", most_
     return run
 
 
+#: Characters of a word beyond which pairs wait in a heap instead of being looked over at every merge.
+LONG = 64
+
+
+def _merged_long(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[tuple[str, int, int]]:
+    """(symbol, start, end) after merging, in n log n: a pair in the heap counts only while both its symbols are as it saw them."""
+    held: list[str | None] = list(symbols)
+    left, right = [i - 1 for i in range(len(held))], [i + 1 for i in range(len(held))]
+    waiting: list[tuple[int, int, str, str]] = []
+
+    def meet(i: int) -> None:
+        if i >= 0 and (j := right[i]) < len(held) and (rank := ranks.get((held[i], held[j]))) is not None:
+            heapq.heappush(waiting, (rank, i, held[i], held[j]))
+
+    for i in range(len(held)):
+        meet(i)
+    while waiting:
+        _, i, a, b = heapq.heappop(waiting)
+        if held[i] != a or (j := right[i]) >= len(held) or held[j] != b:
+            continue
+        held[i], held[j], right[i] = a + b, None, right[j]
+        if right[i] < len(held):
+            left[right[i]] = i
+        meet(left[i])
+        meet(i)
+    starts = [i for i, s in enumerate(held) if s is not None]
+    return [(held[a], a, b) for a, b in zip(starts, [*starts[1:], len(held)], strict=True)]
+
+
 def bpe(vocab: dict[str, int], merges: list[tuple[str, str]], unk: int | None, suffix: str = "") -> WordModel:
     """Merges the pair of least rank, the leftmost on a tie, one at a time. Symbols without an id are `unk`, or nothing."""
     ranks = {pair: n for n, pair in reversed(list(enumerate(merges)))}
@@ -45,6 +75,8 @@ def bpe(vocab: dict[str, int], merges: list[tuple[str, str]], unk: int | None, s
             return []
         symbols = list(word)
         symbols[-1] += suffix
+        if len(symbols) > LONG:
+            return [(i, a, b) for s, a, b in _merged_long(symbols, ranks) if (i := vocab.get(s, unk)) is not None]
         ends = list(range(1, len(word) + 1))
         rank = [ranks.get(p, never) for p in zip(symbols, symbols[1:], strict=False)]
         while rank and (best := min(rank)) < never:

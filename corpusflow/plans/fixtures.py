@@ -48,9 +48,32 @@ def byte_level_spec() -> dict:
     return {"added_tokens": [], "pre_tokenizer": {"type": "ByteLevel"}, "decoder": {"type": "ByteLevel"}, "model": {"type": "BPE", "vocab": {w: i for i, w in enumerate(words)}, "merges": merges()}}
 
 
+def characters() -> list[str]:
+    """Every printable character of Latin-1 and a few beyond."""
+    return [chr(c) for c in [*range(0x21, 0x7F), *range(0xA1, 0x180), *range(0x2010, 0x2040), 0x20AC]]
+
+
+#: Steps of a decoder that undoes the marks of spaces and tells itself by an E.
+STEPS = {"type": "Sequence", "decoders": [{"type": "Replace", "pattern": {"String": "\u2581"}, "content": " "}, {"type": "Replace", "pattern": {"Regex": "e"}, "content": "E"}]}
+
+
+def metaspace_spec(decoder: dict | None = None) -> dict:
+    """Unigram over single characters, white space among them, with marks for spaces."""
+    mark = {"type": "Metaspace", "replacement": "\u2581", "prepend_scheme": "always"}
+    pieces = ["<unk>", "\u2581", *(chr(c) for c in range(9, 14)), *characters()]
+    return {"added_tokens": [], "pre_tokenizer": mark, "decoder": decoder or mark, "model": {"type": "Unigram", "unk_id": 0, "vocab": [[w, 0.0] for w in pieces]}}
+
+
+def suffix_spec() -> dict:
+    """BPE without merges, each character with and without a mark of the word's end."""
+    words = ["<unk>", *characters(), *(c + "</w>" for c in characters())]
+    model = {"type": "BPE", "unk_token": "<unk>", "end_of_word_suffix": "</w>", "vocab": {w: i for i, w in enumerate(words)}, "merges": []}
+    return {"added_tokens": [], "pre_tokenizer": {"type": "Whitespace"}, "decoder": {"type": "BPEDecoder"}, "model": model}
+
+
 def character_spec() -> dict:
-    """WordPiece with every printable character of Latin-1 and a few beyond as a piece, first and continuing."""
-    chars = [chr(c) for c in [*range(0x21, 0x7F), *range(0xA1, 0x180), *range(0x2010, 0x2040), 0x20AC]]
+    """WordPiece with characters() as pieces, first and continuing."""
+    chars = characters()
     return {
         "added_tokens": [], "pre_tokenizer": {"type": "Whitespace"}, "decoder": {"type": "WordPiece", "prefix": "##"},
         "model": {"type": "WordPiece", "unk_token": "[UNK]", "max_input_chars_per_word": 10_000, "vocab": {w: i for i, w in enumerate(["[UNK]", *chars, *("##" + c for c in chars)])}},

@@ -184,6 +184,13 @@ def q_clean_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", names.clean_path(raw).alias("path"))
 
 
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '/home/u/' || source WHEN 1 THEN '/home/u' WHEN 2 THEN '~' || source ELSE 'a/~/' || source END AS path FROM documents")
+def q_expand_home(spark: SparkSession, sf_dir: str) -> DataFrame:
+    case = F.col("doc_id") % 4
+    raw = F.when(case == 0, F.concat(F.lit("~/"), "source")).when(case == 1, "~").when(case == 2, F.concat(F.lit("~"), "source")).otherwise(F.concat(F.lit("a/~/"), "source"))
+    return read(spark, sf_dir, "documents").select("doc_id", names.expand_home(raw, F.lit("/home/u")).alias("path"))
+
+
 @query("SELECT DISTINCT CASE event_type WHEN NULL THEN NULL ELSE 'QueryID' || upper(event_type[1]) || event_type[2:] || 'URL' END AS name FROM events")
 def q_camel_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_type").distinct().select(names.camel_case(F.concat(F.lit("query_id_"), "event_type", F.lit("_url"))).alias("name"))
@@ -299,12 +306,47 @@ def q_unigram_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("word", "n", joined(encode_ids_column(Tokenizer(fixtures.unigram_spec()), F.col("word"))).alias("ids"))
 
 
-@query()
+def _merging_sql() -> str:
+    """Distinct words merged one pair a step: the pair of least rank, the leftmost on a tie."""
+    ranks = ", ".join(f"'{m}': {i}" for i, m in enumerate(fixtures.merges()))
+    vocab = ", ".join(f"('{w}', {i})" for w, i in fixtures.bpe_spec()["model"]["vocab"].items())
+    pair = "list_sort(list_filter(list_transform(range(1, len(s)), lambda i: struct_pack(r := list_extract(map_extract(m, s[i] || ' ' || s[i + 1]), 1), i := i)), lambda x: x.r IS NOT NULL))[1]"
+    return f"""WITH RECURSIVE ranks AS (SELECT MAP {{{ranks}}} AS m), vocab(token, id) AS (VALUES {vocab}),
+    placed AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS place FROM (SELECT doc_id, regexp_extract_all(lower(text), '[^{SPACE}]+') AS w FROM documents)),
+    merged AS (SELECT DISTINCT word, regexp_extract_all(word, '(?s).') AS s FROM placed
+      UNION ALL SELECT word, list_concat(list_append(s[:best.i - 1], s[best.i] || s[best.i + 1]), s[best.i + 2:]) FROM (SELECT word, s, {pair} AS best FROM merged, ranks) WHERE best IS NOT NULL),
+    done AS (SELECT word, arg_min(s, len(s)) AS s FROM merged GROUP BY word),
+    pieces AS (SELECT word, unnest(s) AS token, unnest(range(len(s))) AS k FROM done),
+    encoded AS (SELECT word, string_agg(CAST(coalesce(id, 0) AS VARCHAR), '|' ORDER BY k) AS ids, count(*) AS n FROM pieces LEFT JOIN vocab USING (token) GROUP BY word),
+    joined AS (SELECT doc_id, CAST(sum(n) AS INTEGER) AS n, string_agg(ids, '|' ORDER BY place) AS ids FROM placed JOIN encoded USING (word) GROUP BY doc_id)
+    SELECT doc_id, coalesce(n, 0) AS n, md5(coalesce(ids, '')) AS digest FROM documents LEFT JOIN joined USING (doc_id)"""
+
+
+@query(_merging_sql())
 def q_bpe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merging has no SQL form; tests hold it against the tokenizers library."""
     return texts(spark, sf_dir).select("doc_id", encode_ids_column(Tokenizer(fixtures.bpe_spec()), F.col("text")).alias("ids")).select("doc_id", F.size("ids").alias("n"), F.md5(joined(F.col("ids")).cast("binary")).alias("digest"))
 
 
+def _between(processor: dict) -> Query:
+    """Words between special tokens: the first, the last and how many."""
+    spec = {"pre_tokenizer": {"type": "Whitespace"}, "model": {"type": "None", "vocab": {"[UNK]": 7}, "unk_token": "[UNK]"}, "post_processor": processor}
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ids = texts(spark, sf_dir).select("doc_id", encode_ids_column(Tokenizer(spec), F.col("text")).alias("ids"))
+        return ids.select("doc_id", F.col("ids")[0].alias("first_id"), F.size("ids").alias("n"), F.element_at("ids", -1).alias("last_id"), F.size(F.filter("ids", lambda x: x == 7)).alias("known"))
+
+    return run
+
+
+_TEMPLATE = [{"SpecialToken": {"id": "<s>"}}, {"SpecialToken": {"id": "<lang>"}}, {"Sequence": {"id": "A"}}, {"SpecialToken": {"id": "</s>"}}]
+for _name, _processor, _around in (
+    ("q_template_tokens", {"type": "TemplateProcessing", "single": _TEMPLATE, "special_tokens": {"<s>": {"ids": [1]}, "<lang>": {"ids": [5, 6]}, "</s>": {"ids": [2]}}}, 4),
+    ("q_roberta_tokens", {"type": "RobertaProcessing", "cls": ["<s>", 1], "sep": ["</s>", 2]}, 2),
+):
+    QUERIES[_name] = _between(_processor)
+    SQL[_name] = f"SELECT doc_id, 1 AS first_id, CAST(n + {_around} AS INTEGER) AS n, 2 AS last_id, n AS known FROM (SELECT doc_id, CAST(len(regexp_extract_all(text, '[^{SPACE}]+')) AS INTEGER) AS n FROM documents)"
+
+
 @query("SELECT doc_id, lang, 101 AS first_id, CAST(len(w) + 2 AS INTEGER) AS n, 102 AS last_id FROM (SELECT doc_id, lang, regexp_extract_all(text, '[^" + SPACE + "]+') AS w FROM documents)")
 def q_postprocess_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = {
@@ -326,12 +368,14 @@ def q_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.groupBy("item_id").agg(F.count("*").alias("words"), F.sum("chars").cast("long").alias("covered"))
 
 
-@query("WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^" + SPACE + "]+')) AS token FROM documents), v AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) - 1 AS id FROM w GROUP BY token QUALIFY id < 100) SELECT doc_id, count(id) AS known, CAST(coalesce(sum(id), 0) AS BIGINT) AS id_sum FROM w LEFT JOIN v USING (token) GROUP BY doc_id")
+_VOCABULARY = ", ".join(f"('{w}', {i})" for w, i in fixtures.vocabulary().items())
+
+
+@query(f"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^{SPACE}]+')) AS token FROM documents), v(token, id) AS (VALUES {_VOCABULARY}) SELECT doc_id, count(id) AS known, CAST(coalesce(sum(id), 0) AS BIGINT) AS id_sum FROM w LEFT JOIN v USING (token) GROUP BY doc_id")
 def q_vocab_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens to ids by a join with a vocabulary of a hundred, whose size bounds what is broadcast."""
+    """Tokens to ids by a join with a tokenizer's vocabulary, whose size bounds what is broadcast."""
     found = texts(spark, sf_dir).select("doc_id", F.explode(words.whitespace_words(F.col("text"))).alias("token"))
-    top = found.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(100)
-    vocab = top.withColumn("id", (F.expr("row_number() over (order by n desc, token)") - 1).cast("long")).select("token", "id")
+    vocab = spark.createDataFrame(list(fixtures.vocabulary().items()), "token string, id long")
     return found.join(F.broadcast(vocab), "token", "left").groupBy("doc_id").agg(F.count("id").alias("known"), F.coalesce(F.sum("id"), F.lit(0)).alias("id_sum"))
 
 
@@ -397,13 +441,13 @@ def _word_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _batches(spark: SparkSession, sf_dir: str, padded: bool = False) -> DataFrame:
-    return bucket.batches(_word_lengths(spark, sf_dir), "doc_id", "ids", "doc_id", 0, shapes.by_two_bit_budget(8192, 16), padded)
+    return bucket.batches(_word_lengths(spark, sf_dir), "doc_id", "ids", "doc_id", 0, shapes.by_two_bit_budget(8192, 16), padded, bucket.RUN)
 
 
 _BATCHED = f"""WITH {_LENGTHS}, floored AS (SELECT doc_id, n, greatest(n, 16) AS m FROM lengths), topped AS (SELECT *, CAST(1 AS INTEGER) << CAST(floor(log2(m)) AS INTEGER) AS top FROM floored),
 shaped AS (SELECT doc_id, n, CAST({_TWO_BIT} AS INTEGER) AS seq_len FROM topped), sized AS (SELECT *, greatest(8192 // seq_len, 1) AS batch_size FROM shaped),
-batched AS (SELECT *, (row_number() OVER (PARTITION BY batch_size, seq_len ORDER BY doc_id) - 1) // batch_size AS batch_no FROM sized),
-batches AS (SELECT batch_size, seq_len, batch_no, count(*) AS rows, sum(n) AS tokens FROM batched GROUP BY ALL)"""
+batched AS (SELECT *, doc_id // 1048576 AS run, (row_number() OVER (PARTITION BY doc_id // 1048576, batch_size, seq_len ORDER BY doc_id) - 1) // batch_size AS batch_no FROM sized),
+batches AS (SELECT run, batch_size, seq_len, batch_no, count(*) AS rows, sum(n) AS tokens FROM batched GROUP BY ALL)"""
 
 
 @query(f"{_BATCHED} SELECT CAST(rows AS INTEGER) AS batch_size, seq_len, CAST(batch_no AS BIGINT) AS batch_no, CAST(tokens AS BIGINT) AS non_pad_tokens FROM batches")
@@ -418,8 +462,8 @@ def q_padding_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{_BATCHED}, ids AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[^{SPACE}]+'), lambda w: length(w)) AS ids FROM documents),
-padded AS (SELECT batch_size, seq_len, batch_no, doc_id, list_concat(ids, list_transform(range(seq_len - len(ids)), lambda x: CAST(0 AS BIGINT))) AS row FROM batched JOIN ids USING (doc_id)),
-flat AS (SELECT batch_size, seq_len, batch_no, flatten(list(row ORDER BY doc_id)) AS f, count(*) AS rows FROM padded GROUP BY ALL)
+padded AS (SELECT run, batch_size, seq_len, batch_no, doc_id, list_concat(ids, list_transform(range(seq_len - len(ids)), lambda x: CAST(0 AS BIGINT))) AS row FROM batched JOIN ids USING (doc_id)),
+flat AS (SELECT run, batch_size, seq_len, batch_no, flatten(list(row ORDER BY doc_id)) AS f, count(*) AS rows FROM padded GROUP BY ALL)
 SELECT CAST(batch_size AS INTEGER) AS batch_size, seq_len, CAST(batch_no AS BIGINT) AS batch_no, CAST(rows AS BIGINT) AS real_rows, md5(array_to_string(list_concat(f, list_transform(range((batch_size - rows) * seq_len), lambda x: CAST(0 AS BIGINT))), '|')) AS digest FROM flat""")
 def q_flat_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Padded batches whole: row after row, missing rows all pad."""
@@ -439,30 +483,46 @@ def q_rows_of_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("reference").alias("doc_id"), vectors.seq_len(F.col("ids"), 0).alias("n"))
 
 
-@query()
-def q_stream_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _streamed(spark: SparkSession, sf_dir: str, padded: bool, deal: int) -> DataFrame:
     """Documents as a stream of files through the stateful bucketizer; what is pending when it ends follows as partial batches."""
-    from ..streaming.bucketizer import OUTPUT, bucketize, remaining
+    from ..streaming.bucketizer import OUTPUT, bucketize, drain, paced, remaining
 
     folder, name = shared_folder(spark, "stream"), f"stream_{uuid.uuid4().hex}"
     src = texts(spark, sf_dir).select(F.col("doc_id").cast("string").alias("reference"), F.transform(words.whitespace_words(F.col("text")), lambda w: F.length(w)).alias("ids"))
     src.write.mode("overwrite").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(src.schema).parquet(f"{folder}/in")
-    out = bucketize(stream, F.col("ids"), F.col("reference"), shapes.by_two_bit(4, 16), pad=0, deal=32)
-    run = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema(OUTPUT).parquet(f"{folder}/out").union(remaining(spark, f"{folder}/state"))
+    out = bucketize(paced(spark, f"{folder}/in", src.schema, 256), F.col("ids"), F.col("reference"), shapes.by_two_bit(4, 16), pad=0, batch_padding=padded, deal=deal)
+    drain(out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").queryName(name).trigger(availableNow=True).start())
+    return spark.read.schema(OUTPUT).parquet(f"{folder}/out").union(remaining(spark, f"{folder}/state", batch_padding=padded))
+
+
+_SHAPED = f"""WITH {_LENGTHS}, floored AS (SELECT doc_id, n, greatest(n, 16) AS m FROM lengths), topped AS (SELECT *, CAST(1 AS INTEGER) << CAST(floor(log2(m)) AS INTEGER) AS top FROM floored),
+shaped AS (SELECT doc_id, n, CAST({_TWO_BIT} AS INTEGER) AS seq_len FROM topped)"""
+
+
+@query(f"{_SHAPED} SELECT CAST(doc_id AS VARCHAR) AS reference, seq_len, n FROM shaped")
+def q_stream_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document once, in a batch of its shape, with its ids."""
+    rows = _streamed(spark, sf_dir, False, 32).select("seq_len", "batch", F.posexplode("references").alias("at", "reference"))
+    return rows.select("reference", "seq_len", F.size(F.filter(F.slice("batch", F.col("at") * F.col("seq_len") + 1, F.col("seq_len")), lambda x: x != 0)).alias("n"))
+
+
+@query(f"{_SHAPED} SELECT seq_len, (count(*) + 3) // 4 AS batches, CAST((count(*) + 3) // 4 * 4 * seq_len AS BIGINT) AS cells, CAST(sum(n) AS BIGINT) AS tokens, CAST((count(*) + 3) // 4 * 4 - count(*) AS BIGINT) AS missing FROM shaped GROUP BY seq_len")
+def q_stream_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of one size: as many as a shape's documents need, the last one filled up."""
+    some = _streamed(spark, sf_dir, True, 1)
+    missing = F.size(F.filter("references", lambda r: r.isNull()))
+    return some.groupBy("seq_len").agg(F.count("*").alias("batches"), F.sum(F.size("batch")).alias("cells"), F.sum("non_pad_tokens").alias("tokens"), F.sum(missing).alias("missing"))
 
 
 # ---- vectors -------------------------------------------------------------------------------------------------------------
 
-_PAIRS = "FROM (SELECT vec_id AS q, CAST(embedding AS DOUBLE[]) AS a FROM embeddings WHERE vec_id < 20) JOIN (SELECT vec_id AS d, CAST(embedding AS DOUBLE[]) AS b FROM embeddings) ON true"
+_PAIRS = "FROM (SELECT vec_id AS q, CAST(embedding AS DOUBLE[]) AS a FROM embeddings WHERE vec_id % 50 = 0) JOIN (SELECT vec_id AS d, CAST(embedding AS DOUBLE[]) AS b FROM embeddings) ON true"
 
 
 def _scored(spark: SparkSession, sf_dir: str, measure: str) -> DataFrame:
-    """Twenty queries, the feature of a similarity matrix with few rows, against all vectors."""
+    """Each fiftieth vector as a query, against all vectors."""
     e = read(spark, sf_dir, "embeddings")
-    return similarity.pairs(e.where("vec_id < 20"), e, measure, ("vec_id", "embedding"), ("vec_id", "embedding"))
+    return similarity.pairs(e.where("vec_id % 50 = 0"), e, measure, ("vec_id", "embedding"), ("vec_id", "embedding"))
 
 
 def _measure_query(measure: str) -> Query:
@@ -529,13 +589,17 @@ def q_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT label, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(avg(abs(x - y)), 6) AS mean_abs_diff FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(list_transform(CAST(embedding AS DOUBLE[]), lambda v: v / 2)) AS y FROM embeddings) GROUP BY label")
 def q_tensor_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings").withColumn("half", F.transform(F.col("embedding").cast("array<double>"), lambda x: x / 2))
-    both = e.select("label", F.explode(F.arrays_zip(F.col("embedding").cast("array<double>").alias("g"), F.col("half").alias("w"))).alias("p"))
-    return both.groupBy("label").agg(rounded(F.avg("p.g")).alias("mean"), rounded(F.stddev_pop("p.g")).alias("std"), rounded(F.avg(F.abs(F.col("p.g") - F.col("p.w")))).alias("mean_abs_diff"))
+    return aggregates.deviation(e, "embedding", "half", "label").select("label", *(rounded(F.col(c)).alias(c) for c in ("mean", "std", "mean_abs_diff")))
 
 
 # ---- tensors, images -----------------------------------------------------------------------------------------------------
 
-_TYPES_SQL = "VALUES " + ", ".join(f"({t.id}, '{t.name}', {t.block}, {t.size}, {str(t.quantized).lower()})" for t in dequant.TYPES.values())
+#: Types of the format with their ids, values and bytes of a block (fixed values), apart from the table that the query gives.
+_TYPES_SQL = """VALUES (0, 'F32', 1, 4, false), (1, 'F16', 1, 2, false), (2, 'Q4_0', 32, 18, true), (3, 'Q4_1', 32, 20, true), (6, 'Q5_0', 32, 22, true), (7, 'Q5_1', 32, 24, true), (8, 'Q8_0', 32, 34, true),
+(9, 'Q8_1', 32, 36, true), (10, 'Q2_K', 256, 84, true), (11, 'Q3_K', 256, 110, true), (12, 'Q4_K', 256, 144, true), (13, 'Q5_K', 256, 176, true), (14, 'Q6_K', 256, 210, true), (15, 'Q8_K', 256, 292, true),
+(16, 'IQ2_XXS', 256, 66, true), (17, 'IQ2_XS', 256, 74, true), (18, 'IQ3_XXS', 256, 98, true), (19, 'IQ1_S', 256, 50, true), (20, 'IQ4_NL', 32, 18, true), (21, 'IQ3_S', 256, 110, true), (22, 'IQ2_S', 256, 82, true),
+(23, 'IQ4_XS', 256, 136, true), (24, 'I8', 1, 1, false), (25, 'I16', 1, 2, false), (26, 'I32', 1, 4, false), (27, 'I64', 1, 8, false), (28, 'F64', 1, 8, false), (29, 'IQ1_M', 256, 56, true), (30, 'BF16', 1, 2, false),
+(34, 'TQ1_0', 256, 54, true), (35, 'TQ2_0', 256, 66, true), (39, 'MXFP4', 32, 17, true)"""
 
 
 @query(f"SELECT * FROM ({_TYPES_SQL}) t(id, name, block_size, type_size, quantized)")
@@ -561,6 +625,60 @@ def q_dequant_q8_0(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("at").cast("long").alias("pos"), F.col("value").cast("double").alias("value"))
 
 
+def _byte(at: str) -> str:
+    """What the blocks hold at a place, from the document's number."""
+    return f"((doc_id * 7 + ({at}) * 13) % 256)"
+
+
+def _nibble(at: str, high: str) -> str:
+    return f"(CASE WHEN {high} THEN {_byte(at)} >> 4 ELSE {_byte(at)} & 15 END)"
+
+
+def _dequant_sql() -> str:
+    """A value of each block type by its definition: d is 0.5 and m is 1."""
+    low = lambda first: _nibble(f"{first} + p % 16", "p >= 16")
+    fifth = lambda first: f"((({_byte(f'{first} + p // 8')} >> (p % 8)) & 1) << 4)"
+    pair = lambda first: f"(({_byte(f'{first} + 32 * (p // 128) + p % 32')} >> (2 * ((p % 128) // 32))) & 3)"
+    s4 = f"(CASE WHEN p // 32 < 4 THEN {_byte('4 + p // 32')} & 63 ELSE ({_byte('8 + p // 32')} & 15) | (({_byte('p // 32')} >> 6) << 4) END)"
+    m4 = f"(CASE WHEN p // 32 < 4 THEN {_byte('8 + p // 32')} & 63 ELSE ({_byte('8 + p // 32')} >> 4) | (({_byte('4 + p // 32')} >> 6) << 4) END)"
+    half = lambda first: _nibble(f"{first} + 32 * (p // 64) + p % 32", "p % 64 >= 32")
+    s3 = f"(((CASE WHEN p // 16 < 8 THEN {_byte('96 + p // 16')} & 15 ELSE {_byte('88 + p // 16')} >> 4 END) | ((({_byte('104 + (p // 16) % 4')} >> (2 * (p // 64))) & 3) << 4)) - 32)"
+    q6 = f"({_nibble('64 * (p // 128) + p % 64', 'p % 128 >= 64')} | ((({_byte('128 + 32 * (p // 128) + p % 32')} >> (2 * ((p % 128) // 32))) & 3) << 4))"
+    s6 = f"(CASE WHEN {_byte('192 + p // 16')} > 127 THEN {_byte('192 + p // 16')} - 256 ELSE {_byte('192 + p // 16')} END)"
+    kinds = {
+        "Q4_0": (32, f"0.5 * ({low(2)} - 8)"), "Q4_1": (32, f"0.5 * {low(4)} + 1"), "Q5_0": (32, f"0.5 * (({low(6)} | {fifth(2)}) - 16)"), "Q5_1": (32, f"0.5 * ({low(8)} | {fifth(4)}) + 1"),
+        "Q2_K": (256, f"0.5 * ({_byte('p // 16')} & 15) * {pair(16)} - ({_byte('p // 16')} >> 4)"),
+        "Q3_K": (256, f"0.5 * {s3} * ({pair(32)} - 4 * (1 - (({_byte('p % 32')} >> (p // 32)) & 1)))"),
+        "Q4_K": (256, f"0.5 * {s4} * {half(16)} - {m4}"), "Q5_K": (256, f"0.5 * {s4} * ({half(48)} | ((({_byte('16 + p % 32')} >> (p // 32)) & 1) << 4)) - {m4}"),
+        "Q6_K": (256, f"0.5 * {s6} * ({q6} - 32)"),
+    }
+    each = [f"SELECT doc_id, '{k}' AS type, CAST(sum(({v}) * (p + 1)) AS DOUBLE) AS total FROM (SELECT doc_id, unnest(range({n})) AS p FROM documents) GROUP BY doc_id" for k, (n, v) in kinds.items()]
+    return " UNION ALL ".join(each)
+
+
+#: Where a type's block has its scale and minimum as half floats: their bytes are those of 0.5 and 1.
+_HALVES = {"Q4_0": (0,), "Q4_1": (0, 2), "Q5_0": (0,), "Q5_1": (0, 2), "Q2_K": (80, 82), "Q3_K": (108,), "Q4_K": (0, 2), "Q5_K": (0, 2), "Q6_K": (208,)}
+
+
+@query(_dequant_sql())
+def q_dequant_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A block of every type from document numbers, all values weighed by their places."""
+    docs, out = read(spark, sf_dir, "documents").select("doc_id"), None
+
+    def block(size: int, halves: tuple[int, ...]) -> Column:
+        fixed = dict(zip((x + y for x in halves for y in (0, 1)), ("00", "38", "00", "3C"), strict=False))
+        told = F.create_map(*(x for k, v in fixed.items() for x in (F.lit(k), F.lit(v))))
+        byte = lambda i: F.coalesce(F.try_element_at(told, i), F.lpad(F.hex((F.col("doc_id") * 7 + i * 13) % 256), 2, "0"))
+        return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), byte), ""))
+
+    for kind, halves in _HALVES.items():
+        some = docs.select("doc_id", F.lit(kind).alias("type"), block(dequant.BY_NAME[kind].size, halves).alias("raw"))
+        out = some if out is None else out.union(some)
+    values = out.select("doc_id", "type", dequant.gguf_dequantize(F.col("type"), F.col("raw")).alias("v"))
+    weighed = F.transform(F.col("v.values").cast("array<double>"), lambda x, i: x * (i + 1))
+    return values.select("doc_id", "type", F.aggregate(weighed, F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
 @query("SELECT vec_id, CAST(sum(CASE WHEN x > 0 THEN 255 ELSE 0 END) AS BIGINT) AS mask_sum FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) GROUP BY vec_id")
 def q_mask_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     mask = F.transform("embedding", lambda x: F.when(x > 0, F.lit(255).cast("long")).otherwise(F.lit(0).cast("long")))
@@ -572,6 +690,7 @@ def _tensor_files(spark: SparkSession, sf_dir: str, kind: str) -> str:
     folder = shared_folder(spark, kind)
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("vec_id")
         items = {f"vec.{i}.weight": np.asarray(v, "<f4") for i, v in zip(pdf["vec_id"], pdf["embedding"], strict=True)}
         data, head, infos, at = b"".join(a.tobytes() for a in items.values()), {"__metadata__": {"label": str(pdf["label"].iloc[0])}}, b"", 0
         text = lambda t: struct.pack("<Q", len(t.encode())) + t.encode()
@@ -630,7 +749,25 @@ def q_tensor_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_tensor_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tensors, parameters and bytes of each shard, from the headers alone."""
     rows = tensors.tensors(spark, _tensor_files(spark, sf_dir, "safetensors"), data=False)
-    return rows.groupBy("file").agg(F.count("*").alias("tensors"), F.sum(vectors.num_elements(F.col("shape"))).alias("parameters"), F.sum(F.col("end") - F.col("start")).alias("bytes"))
+    return aggregates.parameter_totals(rows, F.lit(4).cast("long"), "file")  # all F32
+
+
+@query("SELECT 'part-' || lpad(CAST(label AS VARCHAR), 3, '0') || '.safetensors' AS file, 'vec.' || vec_id || '.weight' AS name, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS at FROM embeddings")
+def q_tensor_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tensors by shard and offset."""
+    return tensors.in_order(tensors.tensors(spark, _tensor_files(spark, sf_dir, "safetensors"), data=False)).select("file", "name", F.col("at").cast("int").alias("at"))
+
+
+@query("SELECT 'part-' || lpad(CAST(label AS VARCHAR), 3, '0') || '.safetensors' AS file, 'vec.' || min(vec_id) || '.weight' AS name, round(list_sum(CAST(arg_min(embedding, vec_id) AS DOUBLE[])), 4) AS total FROM embeddings GROUP BY label")
+def q_tensor_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards with an index file that names one tensor of each; only those are tensors of the model."""
+    folder = _tensor_files(spark, sf_dir, "safetensors")
+    first = read(spark, sf_dir, "embeddings").groupBy("label").agg(F.min("vec_id").alias("vec_id")).collect()  # one row a shard
+    filesystem, at = tensors.locate(folder)
+    with filesystem.open_output_stream(f"{at}/{tensors.INDEX_NAMES[0]}") as f:
+        f.write(json.dumps({"weight_map": {f"vec.{r['vec_id']}.weight": f"part-{r['label']:03d}.safetensors" for r in first}}).encode())
+    values = tensors.sharded(spark, folder).select("file", "name", dequant.gguf_dequantize(F.col("dtype"), F.col("data")).alias("v"))
+    return values.select("file", "name", rounded(F.aggregate(F.col("v.values").cast("array<double>"), F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
 @query("SELECT 'part-' || lpad(CAST(label AS VARCHAR), 3, '0') || '.gguf' AS file, 'label' AS key, 'i64' AS type, CAST(label AS BIGINT) AS long_value FROM embeddings GROUP BY label")
@@ -650,17 +787,34 @@ def q_mask_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select("vec_id", masks("embedding").alias("m")).select("vec_id", "m.*")
 
 
-@query("SELECT vec_id, round(((vec_id % 256) / 255.0 - 0.5) / 0.25, 4) AS first, round((((vec_id + 1) % 256) / 255.0 - 0.5) / 0.25, 4) AS second FROM embeddings")
+@query("SELECT vec_id, y, x, c, round(((vec_id % 100 + 3 * c + 2 * (4 * y + 1.5) + 5 * (2 * x + 0.5)) / 255.0 - 0.5) / 0.25, 4) AS value FROM embeddings, (SELECT unnest(range(2)) AS y), (SELECT unnest(range(2)) AS x), (SELECT unnest(range(3)) AS c)")
 def q_image_preprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat 4 by 4 images of bytes made from ids, resized to 2 by 2, less their mean, over their deviation."""
+    """Images of 8 by 4 that rise by 2 down and by 5 to the right, resized to 2 by 2 (places 1.5 and 5.5 down, 0.5 and 2.5 across), less their mean, over their deviation."""
 
-    @F.pandas_udf("struct<first:double,second:double>")
-    def prepared(ids: pd.Series) -> pd.DataFrame:
-        pixels = [np.stack([np.full((4, 4), (int(i) + c) % 256, np.uint8) for c in range(3)], axis=2) for i in ids]
-        made = [image.preprocess(p, 2, 2, [0.5] * 3, [0.25] * 3) for p in pixels]
-        return pd.DataFrame({"first": [round(float(m[0, 0, 1, 1]), 4) for m in made], "second": [round(float(m[0, 1, 0, 1]), 4) for m in made]})
+    @F.pandas_udf("array<double>")
+    def prepared(ids: pd.Series) -> pd.Series:
+        y, x, c = np.meshgrid(np.arange(8), np.arange(4), np.arange(3), indexing="ij")
+        made = (image.preprocess((int(i) % 100 + 3 * c + 2 * y + 5 * x).astype(np.uint8), 2, 2, [0.5] * 3, [0.25] * 3)[0] for i in ids)
+        return pd.Series([m.transpose(1, 2, 0).ravel().astype(np.float64).tolist() for m in made])
 
-    return read(spark, sf_dir, "embeddings").select("vec_id", prepared("vec_id").alias("p")).select("vec_id", "p.*")
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(prepared("vec_id")).alias("at", "v"))
+    at = F.col("at").cast("long")
+    return rows.select("vec_id", F.floor(at / 6).alias("y"), (F.floor(at / 3) % 2).alias("x"), (at % 3).alias("c"), rounded(F.col("v"), 4).alias("value"))
+
+
+@query("SELECT vec_id, CAST(sum(((vec_id + 31 * (p // 24) + 7 * (p % 24)) % 256) * (p + 1)) AS BIGINT) AS weighed, CAST(192 AS BIGINT) AS bytes FROM (SELECT vec_id, unnest(range(192)) AS p FROM embeddings) GROUP BY vec_id")
+def q_png_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of 8 by 8 in colour as PNG files and back, pixels weighed by their places."""
+
+    @F.pandas_udf("struct<weighed:bigint,bytes:bigint>")
+    def stored(ids: pd.Series) -> pd.DataFrame:
+        p, rows = np.arange(192), []
+        for i in ids:
+            read_back = image.read_png(image.write_png(((int(i) + 31 * (p // 24) + 7 * (p % 24)) % 256).astype(np.uint8).reshape(8, 8, 3)))
+            rows.append((int((read_back.ravel().astype(np.int64) * (p + 1)).sum()), read_back.size))
+        return pd.DataFrame(rows, columns=["weighed", "bytes"])
+
+    return read(spark, sf_dir, "embeddings").select("vec_id", stored("vec_id").alias("p")).select("vec_id", "p.*")
 
 
 @query("SELECT vec_id, CAST((vec_id % 256 + 200) // 2 AS INTEGER) AS over, CAST(vec_id % 256 AS INTEGER) AS beside FROM embeddings")
@@ -712,6 +866,23 @@ def q_decode_word_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir).select("doc_id", F.md5(decoded.cast("binary")).alias("digest"))
 
 
+def _decoded(spec: dict) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = Tokenizer(spec)
+        return texts(spark, sf_dir).select("doc_id", F.md5(decode_column(t, encode_ids_column(t, F.col("text"))).cast("binary")).alias("digest"))
+
+    return run
+
+
+_SPACED = "CASE WHEN text = '' OR starts_with(text, ' ') THEN text ELSE ' ' || text END"
+for _name, _spec, _sql in (
+    ("q_decode_metaspace", fixtures.metaspace_spec(), f"substr({_SPACED}, 2)"),
+    ("q_decode_sequence", fixtures.metaspace_spec(fixtures.STEPS), f"replace({_SPACED}, 'e', 'E')"),
+    ("q_decode_suffix", fixtures.suffix_spec(), f"array_to_string(regexp_extract_all(text, '[^{SPACE}]+'), ' ')"),
+):
+    QUERIES[_name], SQL[_name] = _decoded(_spec), f"SELECT doc_id, md5({_sql}) AS digest FROM documents"
+
+
 @query("SELECT lang || '/' || source AS repo, CAST(0 AS INTEGER) AS ordinal, 'data/train-' || count(*) || '.parquet' AS name, CAST(sum(n_chars) AS BIGINT) AS size, CAST(135 AS BIGINT) AS pointer_size FROM documents GROUP BY lang, source")
 def q_hub_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata documents of repositories, made from the catalog, to their files."""

@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import contextlib
 import fcntl
+import hashlib
 import json
 import os
 import shutil
+import threading
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -18,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import trim_quotes
+from . import catalog
 
 LFS = "struct<sha256:string,size:bigint,pointerSize:bigint>"
 INFO = (
@@ -100,6 +103,11 @@ class Repo:
     cache_dir: str = field(default_factory=default_cache_dir)
     transport: Callable[[str], bytes | None] | None = None
     parallel: int = 20
+    #: A URL's response headers, by lower-case names, or None: with them blobs go by their ETag and snapshots by their commit.
+    head: Callable[[str], dict[str, str] | None] | None = None
+    #: Called with a file's name and size when it is there; set `cancelled` to end a download before its next file.
+    progress: Callable[[str, int], None] | None = None
+    cancelled: threading.Event = field(default_factory=threading.Event)
 
     @property
     def folder(self) -> str:
@@ -127,6 +135,37 @@ class Repo:
             raise ValueError(f"illegal file name {bad[0]}")
         return found
 
+    @property
+    def snapshot(self) -> str:
+        """The folder of the revision's files: that of the commit which the revision was last found to be, if headers told one."""
+        at = os.path.join(self.folder, "refs", self.revision)
+        if os.path.exists(at):
+            with open(at, encoding="utf-8") as f:
+                return os.path.join(self.folder, "snapshots", f.read())
+        return os.path.join(self.folder, "snapshots", self.revision)
+
+    def described(self, name: str) -> dict[str, str]:
+        """commit, etag, location and size of a file as its headers have them, as file_metadata() reads them; empty without headers."""
+        found = (self.head(self.url(name)) if self.head else None) or {}
+        etag = found.get("x-linked-etag") or found.get("etag") or ""
+        size = found.get("x-linked-size") or found.get("content-length") or ""
+        return {"commit": found.get("x-repo-commit") or "", "etag": etag.removeprefix("W/").strip('"'), "location": found.get("location") or self.url(name), "size": size}
+
+    def catalog(self, spark: SparkSession, force: bool = False) -> DataFrame:
+        """The file catalog: kept in the cache, and made from the file names where it isn't there yet or with force."""
+        path = os.path.join(self.folder, "info", f"{self.revision}.files.json")
+        with locked(path):
+            if force or not os.path.exists(path):
+                listed = [(s["rfilename"], s.get("size")) for s in self.info(force).get("siblings") or []]
+                rows = catalog.crawl(spark.createDataFrame(listed, "name string, size long"), self.id).orderBy("ordinal")
+                self._put(path, json.dumps({"parquet_files": [r.asDict() for r in rows.collect()]}).encode())  # one repository's files
+        with open(path, encoding="utf-8") as f:
+            return catalog.files_frame(spark, f.read())
+
+    def download_split(self, spark: SparkSession, config: str = "", split: str = "") -> list[str]:
+        """The files of a config and split, "" for any, in catalog order."""
+        return self.download([r["url"] for r in catalog.list_files(self.catalog(spark), config, split).select("url").collect()])
+
     def _get(self, url: str) -> bytes:
         if (found := self.transport(url) if self.transport else None) is None:
             raise FileNotFoundError(url)
@@ -146,21 +185,33 @@ class Repo:
             return list(pool.map(self._download, list(names)))
 
     def _download(self, name: str) -> str:
-        import hashlib
-
-        path = os.path.join(self.folder, "snapshots", self.revision, name)
+        if self.cancelled.is_set():
+            raise InterruptedError(f"{name}: the download was cancelled")
+        told = self.described(name)
+        if told["commit"]:
+            with locked(ref := os.path.join(self.folder, "refs", self.revision)):
+                self._put(ref, told["commit"].encode())
+        path = os.path.join(self.snapshot, name)
         with locked(path):
             if not os.path.exists(path):
-                content = self._get(self.url(name))
-                blob = os.path.join(self.folder, "blobs", hashlib.sha256(content).hexdigest())
-                self._put(blob, content)
+                blob = os.path.join(self.folder, "blobs", told["etag"] or "none")
+                # What another revision or an interrupted download has fetched already isn't fetched again.
+                if not told["etag"] or not os.path.exists(blob) or told["size"] and os.path.getsize(blob) != int(told["size"]):
+                    content = self._get(told["location"])
+                    if told["size"] and len(content) != int(told["size"]):
+                        raise OSError(f"{name}: {len(content)} bytes instead of {told['size']}")
+                    blob = blob if told["etag"] else os.path.join(self.folder, "blobs", hashlib.sha256(content).hexdigest())
+                    self._put(blob, content)
+                os.makedirs(os.path.dirname(path), exist_ok=True)
                 os.symlink(os.path.relpath(blob, os.path.dirname(path)), f"{path}.part")
                 os.replace(f"{path}.part", path)
+        if self.progress:
+            self.progress(name, os.path.getsize(path))
         return path
 
     def downloaded(self, spark: SparkSession) -> DataFrame:
         """(filename, path, size) of the snapshot's files."""
-        root = os.path.join(self.folder, "snapshots", self.revision)
+        root = self.snapshot
         rows = [(os.path.relpath(p, root), p, os.path.getsize(p)) for d, _, fs in os.walk(root) for f in fs if not f.endswith((".lock", ".part")) for p in [os.path.join(d, f)]]
         return spark.createDataFrame(sorted(rows), "filename string, path string, size long")
 
@@ -168,7 +219,7 @@ class Repo:
         """Cached files of a config and split, both of which must be said ("" for any); returns how many went."""
         if config is None or split is None:
             raise ValueError("say config and split, an empty string for any")
-        root, gone = os.path.join(self.folder, "snapshots", self.revision), 0
+        root, gone = self.snapshot, 0
         for d, _, fs in os.walk(root):
             parts = os.path.relpath(d, root).split(os.sep)
             if (config in ("", parts[0])) and (split in ("", parts[1] if len(parts) > 1 else parts[0])):

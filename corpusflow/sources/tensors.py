@@ -1,29 +1,33 @@
 """Tensor containers as data sources: safetensors and GGUF files to rows, one a tensor.
 
-Headers are parsed on the driver when a scan is planned; tensors' bytes are read by the tasks, in order of offset, a shard's
-neighbours together. A filter on `name` reaches the reader, so that a point lookup reads one tensor's bytes.
+The driver only lists files and their sizes. A task has a stretch of a file: it parses the header itself and reads the tensors
+that start in its stretch, in order of offset. A filter on `name` reaches the reader, so that a point lookup reads one
+tensor's bytes.
 """
 
 from __future__ import annotations
 
 import json
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any, BinaryIO
 
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 from .dequant import TYPES
+from .hub import Repo
 
 #: Limits of what a header may claim.
 MAX_HEADER = 100 << 20
 MAX_KEYS, MAX_TENSORS, MAX_ARRAY, MAX_DIMS, MAX_STRING = 1 << 16, 1 << 20, 1 << 24, 8, 1 << 20
-#: Bytes of a task's tensors; a larger tensor is a task of its own.
+#: Bytes of a file in which a task's tensors start.
 TASK_BYTES = 128 << 20
+ARROW = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
 INDEX_NAMES = ("model.safetensors.index.json", "pytorch_model.safetensors.index.json")
 #: Bytes of a value by safetensors' type (fixed values).
 DTYPES = {"BOOL": 1, "U8": 1, "I8": 1, "F8_E4M3": 1, "F8_E5M2": 1, "I16": 2, "U16": 2, "F16": 2, "BF16": 2, "I32": 4, "U32": 4, "F32": 4, "I64": 8, "U64": 8, "F64": 8}
@@ -49,14 +53,34 @@ def locate(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def find(path: str, ending: str) -> list[str]:
-    """The file itself, or the files below a folder with this ending, by name."""
+def sized(path: str, ending: str) -> list[tuple[str, int]]:
+    """(file, bytes): the file itself, or the files below a folder with this ending, by name."""
     filesystem, at = locate(path)
     scheme = path[: len(path) - len(at)] if path.endswith(at) else ""
-    if filesystem.get_file_info(at).type == fs.FileType.Directory:
+    here = filesystem.get_file_info(at)
+    if here.type == fs.FileType.Directory:
         found = filesystem.get_file_info(fs.FileSelector(at, recursive=True))
-        return sorted(f"{scheme}{f.path}" for f in found if f.type == fs.FileType.File and f.path.endswith(ending))
-    return [path]
+        return sorted((f"{scheme}{f.path}", f.size) for f in found if f.type == fs.FileType.File and f.path.endswith(ending))
+    return [(path, here.size or 0)]
+
+
+def of_headers(spark: SparkSession, path: str, ending: str, read: Callable[[BinaryIO], Iterator[tuple]], schema: str) -> DataFrame:
+    """The rows that `read` makes of each open file, after the file's name; each file is a task's."""
+    files = [f for f, _ in sized(path, ending)]
+    names = [x.split()[0] for x in schema.split(", ")]
+    if not files:
+        return spark.createDataFrame([], schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([(n, ARROW[x.split()[1]]) for n, x in zip(names, schema.split(", "), strict=True)])
+        for b in batches:
+            for file in b.column(0).to_pylist():
+                filesystem, at = locate(file)
+                with filesystem.open_input_file(at) as f:
+                    rows = [(file.rpartition("/")[2], *r) for r in read(f)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k.type) for i, k in enumerate(kinds)], schema=kinds)
+
+    return spark.createDataFrame([(f,) for f in files], "file string").repartition(len(files), "file").mapInArrow(run, schema)
 
 
 def read_safetensors_header(f: BinaryIO) -> tuple[list[Tensor], dict[str, str]]:
@@ -156,13 +180,11 @@ class GGUF:
         return value if kind == "string" else ""
 
 
-@dataclass
 class Stretch(InputPartition):
-    file: str
-    tensors: tuple[Tensor, ...]
+    """Bytes low to high of a file; high is None for its end, file is None where there is nothing to read."""
 
-    def __init__(self, file: str, tensors: tuple[Tensor, ...]) -> None:
-        self.file, self.tensors = file, tensors
+    def __init__(self, file: str | None, low: int = 0, high: int | None = None) -> None:
+        self.file, self.low, self.high = file, low, high
 
 
 class TensorReader(DataSourceReader):
@@ -180,30 +202,20 @@ class TensorReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        ending, out = f".{self.kind}", []
-        for file in find(self.path, ending):
-            filesystem, at = locate(file)
-            with filesystem.open_input_file(at) as f:
-                tensors = read_safetensors_header(f)[0] if self.kind == "safetensors" else GGUF(f).tensors
-            held, size = [], 0
-            for t in tensors:
-                if self.names is not None and t.name not in self.names:
-                    continue
-                if held and size + t.end - t.start > TASK_BYTES:
-                    out.append(Stretch(file, tuple(held)))
-                    held, size = [], 0
-                held.append(t)
-                size += t.end - t.start
-            if held:
-                out.append(Stretch(file, tuple(held)))
-        return out or [Stretch("", ())]
+        out = []
+        for file, size in sized(self.path, f".{self.kind}"):
+            cuts = [0, *range(TASK_BYTES, size, TASK_BYTES)] if self.with_data else [0]
+            out += [Stretch(file, low, high) for low, high in zip(cuts, [*cuts[1:], None], strict=True)]
+        return out or [Stretch(None)]
 
     def read(self, partition: Stretch) -> Iterator[tuple]:
-        if not partition.tensors:
+        if partition.file is None:
             return
         filesystem, at = locate(partition.file)
         with filesystem.open_input_file(at) as f:
-            for t in partition.tensors:
+            for t in read_safetensors_header(f)[0] if self.kind == "safetensors" else GGUF(f).tensors:
+                if t.start < partition.low or partition.high is not None and t.start >= partition.high or self.names is not None and t.name not in self.names:
+                    continue
                 data = None
                 if self.with_data:
                     f.seek(t.start)
@@ -254,13 +266,8 @@ def tensors(spark: SparkSession, path: str, kind: str = "safetensors", data: boo
 
 
 def safetensors_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """(file, key, value) of the files' own metadata."""
-    rows = []
-    for file in find(path, ".safetensors"):
-        filesystem, at = locate(file)
-        with filesystem.open_input_file(at) as f:
-            rows += [(file.rpartition("/")[2], k, str(v)) for k, v in read_safetensors_header(f)[1].items()]
-    return spark.createDataFrame(rows, "file string, key string, value string")
+    """(file, key, value) of the files' own metadata, read by the tasks."""
+    return of_headers(spark, path, ".safetensors", lambda f: ((k, str(v)) for k, v in read_safetensors_header(f)[1].items()), "file string, key string, value string")
 
 
 def shard_index(spark: SparkSession, folder: str) -> DataFrame:
@@ -278,22 +285,32 @@ def sharded(spark: SparkSession, folder: str, data: bool = True) -> DataFrame:
     return tensors(spark, folder, data=data).join(shard_index(spark, folder), ["name", "file"], "left_semi")
 
 
+def _told(f: BinaryIO) -> Iterator[tuple]:
+    for key, (kind, v) in GGUF(f).values.items():
+        whole = isinstance(v, int) and not isinstance(v, bool)
+        yield (
+            key, kind, v if isinstance(v, str) else None, v if whole and -(1 << 63) <= v < 1 << 63 else None, float(v) if whole or isinstance(v, float) else None,
+            v if isinstance(v, bool) else None, json.dumps(v),
+        )
+
+
 def gguf_values(spark: SparkSession, path: str) -> DataFrame:
-    """(file, key, type, string_value, long_value, double_value, bool_value, json_value); what doesn't fit its type is null.
+    """(file, key, type, string_value, long_value, double_value, bool_value, json_value), read by the tasks; what doesn't fit its type is null.
 
     Unsigned 64-bit values beyond a long are in json_value only.
     """
-    rows = []
-    for file in find(path, ".gguf"):
-        filesystem, at = locate(file)
-        with filesystem.open_input_file(at) as f:
-            for key, (kind, v) in GGUF(f).values.items():
-                whole = isinstance(v, int) and not isinstance(v, bool)
-                rows.append((
-                    file.rpartition("/")[2], key, kind, v if isinstance(v, str) else None, v if whole and -(1 << 63) <= v < 1 << 63 else None,
-                    float(v) if whole or isinstance(v, float) else None, v if isinstance(v, bool) else None, json.dumps(v),
-                ))
-    return spark.createDataFrame(rows, "file string, key string, type string, string_value string, long_value long, double_value double, bool_value boolean, json_value string")
+    return of_headers(spark, path, ".gguf", _told, "file string, key string, type string, string_value string, long_value long, double_value double, bool_value boolean, json_value string")
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """Tensors with `at`, their number in their file by offset, in order of file and offset."""
+    return rows.withColumn("at", F.row_number().over(Window.partitionBy("file").orderBy("start", "name")) - 1).orderBy("file", "at")
+
+
+def from_repo(spark: SparkSession, repo: Repo, kind: str = "safetensors", data: bool = True) -> DataFrame:
+    """The tensors of a repository's files of this kind, fetched into its cache first, which executors must see."""
+    repo.download([n for n in repo.names() if n.endswith(f".{kind}") or n.rpartition("/")[2] in INDEX_NAMES])
+    return tensors(spark, repo.snapshot, kind, data)
 
 
 def gguf_shapes(gguf: DataFrame) -> DataFrame:

@@ -91,9 +91,9 @@ def test_stream_query_has_every_document_once(spark):
 
     if not os.path.isdir(data := "/root/testdata/sf0.001"):
         pytest.skip("no driver tables")
-    from corpusflow.registry import QUERIES
+    from corpusflow.plans.queries import _streamed
 
-    rows = QUERIES["q_stream_buckets"](spark, data).collect()
+    rows = _streamed(spark, data, False, 32).collect()
     docs = {str(r["doc_id"]): (r["text"] or "").split() for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
     assert sorted(x for r in rows for x in r["references"]) == sorted(docs)
     for r in rows:
@@ -116,3 +116,19 @@ def test_stream_rest(spark, tmp_path):
         done = spark.read.schema(OUTPUT).parquet(f"{tmp_path}/out{n}").collect()
         assert [len([x for x in r["references"] if x]) for r in done] == [4] and [len([x for x in r["references"] if x]) for r in rest] == [2] * (n > 4)
         assert all(r["batch"] == [7, 9, 7, 9, 9, 9, 9, 9] and r["batch_size"] == 4 for r in rest)
+
+
+def test_stream_that_is_cancelled(spark, tmp_path):
+    """A stream ends by itself, or when it is told to; files come at the pace that was asked for."""
+    import threading
+
+    from corpusflow.streaming.bucketizer import drain, paced
+
+    src = spark.range(8).select(F.col("id").cast("string").alias("ref"))
+    src.repartition(4).write.parquet(f"{tmp_path}/in")
+    sink = lambda n: paced(spark, f"{tmp_path}/in", src.schema, 1).writeStream.format("parquet").option("path", f"{tmp_path}/out{n}").option("checkpointLocation", f"{tmp_path}/state{n}")
+    run = sink(0).trigger(availableNow=True).start()
+    assert drain(run) and spark.read.parquet(f"{tmp_path}/out0").count() == 8 and len(run.recentProgress) >= 4
+    run, stop = sink(1).trigger(processingTime="200 milliseconds").start(), threading.Event()
+    threading.Timer(1.0, stop.set).start()
+    assert drain(run, stop) is False and not run.isActive

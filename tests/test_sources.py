@@ -135,3 +135,45 @@ def test_cache(spark, tmp_path):
     with pytest.raises(ValueError):
         repo.delete(None, "")
     assert repo.delete("en", "train") >= 1 and repo.downloaded(spark).count() == 0
+
+
+class Served:
+    """A repository of bytes by name, with headers, that counts what is fetched."""
+
+    def __init__(self, files, commit="c1"):
+        import hashlib
+
+        self.files, self.commit, self.fetched, self.etag = files, commit, [], lambda x: hashlib.md5(x).hexdigest()
+
+    def get(self, url):
+        if "/api/" in url:
+            return json.dumps({"id": "a/b", "siblings": [{"rfilename": n, "size": len(x)} for n, x in self.files.items()]}).encode()
+        self.fetched.append(name := url.partition("/resolve/main/")[2])
+        return self.files.get(name)
+
+    def head(self, url):
+        x = self.files.get(url.partition("/resolve/main/")[2])
+        return None if x is None else {"x-repo-commit": self.commit, "etag": f'W/"{self.etag(x)}"', "content-length": str(len(x))}
+
+
+def test_downloads_by_headers(spark, tmp_path):
+    served, seen = Served({"data/train-0.parquet": b"abc", "data/test-0.parquet": b"de", "copy.parquet": b"abc", "x.json": b"{}"}), []
+    repo = hub.Repo("a/b", "datasets", cache_dir=str(tmp_path), transport=served.get, head=served.head, progress=lambda n, size: seen.append((n, size)), parallel=1)
+    catalog_rows = repo.catalog(spark).collect()
+    assert [(r["config"], r["split"], r["filename"]) for r in catalog_rows] == [("default", "train", "copy.parquet"), ("default", "test", "test-0.parquet"), ("default", "train", "train-0.parquet")]
+    served.files["late.parquet"] = b"z"
+    assert len(repo.catalog(spark).collect()) == 3 and len(repo.catalog(spark, force=True).collect()) == 4  # kept, and crawled again
+    paths = repo.download_split(spark, "default", "test")
+    assert [open(p, "rb").read() for p in paths] == [b"de"] and "/snapshots/c1/" in paths[0] and served.fetched == ["data/test-0.parquet"] and seen == [("data/test-0.parquet", 2)]
+    repo.download(["data/train-0.parquet", "copy.parquet", "data/test-0.parquet"])
+    assert served.fetched == ["data/test-0.parquet", "data/train-0.parquet"]  # equal bytes have one ETag
+    served.commit, served.files["data/test-0.parquet"] = "c2", b"new"
+    later = repo.download(["data/train-0.parquet", "data/test-0.parquet"])
+    assert "/snapshots/c2/" in later[0] and open(later[1], "rb").read() == b"new" and served.fetched[2:] == ["data/test-0.parquet"]
+    assert {r["filename"] for r in repo.downloaded(spark).collect()} == {"data/train-0.parquet", "data/test-0.parquet"}
+    repo.cancelled.set()
+    with pytest.raises(InterruptedError):
+        repo.download(["x.json"])
+    short = hub.Repo("a/b", "datasets", cache_dir=str(tmp_path / "x"), transport=lambda u: b"", head=served.head)
+    with pytest.raises(OSError, match="instead of"):
+        short.download(["x.json"])

@@ -155,3 +155,31 @@ def test_other_types(spark):
     assert rows[0]["values"] == [1.0, 2.0] and rows[1]["values"] is None and "Q8_0" in rows[1]["error"] and rows[2]["values"] is None
     table = {r["name"]: (r["block_size"], r["type_size"]) for r in dequant.type_table(spark).collect()}
     assert table["F32"] == (1, 4) and table["Q4_0"] == (32, 18) and table["Q8_0"] == (32, 34) and table["Q4_K"] == (256, 144) and table["Q6_K"] == (256, 210)
+
+
+def test_files_in_stretches(spark, tmp_path, monkeypatch):
+    """Each tensor is read once, by the task in whose stretch it starts, and a shard's come by offset."""
+    items = {f"t{i}": np.full(50 * (i % 3), i, "<f4") for i in range(40)}
+    safetensors(tmp_path / "m.safetensors", items)
+    monkeypatch.setattr(tensors, "TASK_BYTES", 700)
+    reader = tensors.TensorReader({"path": str(tmp_path)}, "safetensors")
+    parts = reader.partitions()
+    rows = [r for p in parts for r in reader.read(p)]
+    assert len(parts) > 5 and [r[1] for r in rows] == [t.name for t in tensors.read_safetensors_header(open(tmp_path / "m.safetensors", "rb"))[0]] and all(items[r[1]].tobytes() == r[6] for r in rows)
+    assert [(r["name"], r["at"]) for r in tensors.in_order(tensors.tensors(spark, str(tmp_path), data=False)).collect()] == [(r[1], i) for i, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize("kind", ["safetensors", "gguf"])
+def test_tensors_of_a_repository(spark, tmp_path, kind):
+    from corpusflow.sources import hub
+
+    a = np.arange(12, dtype="<f4")
+    if kind == "gguf":
+        gguf(tmp_path / f"m.{kind}", [], [("a", (12,), 0, 0)], a.tobytes())
+    else:
+        safetensors(tmp_path / f"m.{kind}", {"a": a})
+    content = (tmp_path / f"m.{kind}").read_bytes()
+    get = lambda url: json.dumps({"siblings": [{"rfilename": f"sub/m.{kind}"}, {"rfilename": "config.json"}]}).encode() if "/api/" in url else content if url.endswith(kind) else None
+    repo = hub.Repo("a/b", cache_dir=str(tmp_path / "cache"), transport=get)
+    rows = tensors.from_repo(spark, repo, kind).collect()
+    assert [(r["name"], r["data"]) for r in rows] == [("a", a.tobytes())]

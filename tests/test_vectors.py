@@ -92,3 +92,51 @@ def test_totals(spark):
     assert tuple(aggregates.parameter_totals(t, F.lit(4)).first()) == (3, 10, 40)
     d = aggregates.deviation(spark.createDataFrame([([1.0, 2.0], [1.0, 4.0])], "g array<double>, w array<double>"), "g", "w").first()
     assert d["mean"] == 1.5 and d["mean_abs_diff"] == 1.0 and d["max_rel_diff"] == 0.5
+
+
+@pytest.mark.parametrize("weight", [0.1, 0.99, 0.5, 1.0, 0.001])
+def test_moving_average_is_a_loop(spark, monkeypatch, weight):
+    """Also where a key's rows lie in many stretches, blocks and groups."""
+    import random
+
+    from corpusflow.operators import aggregates
+
+    monkeypatch.setattr(aggregates, "GROUP", 3)
+    monkeypatch.setattr(aggregates, "STRETCHES", 5)
+    rng = random.Random(1)
+    rows = [("hot" if rng.random() < 0.8 else f"k{rng.randrange(5)}", i, rng.gauss(0, 9)) for i in range(4000)]
+    got = {r["n"]: r["ema"] for r in aggregates.moving_average(spark.createDataFrame(rows, "k string, n long, v double").repartition(3), "k", "n", "v", weight).collect()}
+    last: dict = {}
+    for k, n, v in rows:
+        last[k] = weight * v + (1 - weight) * last[k] if k in last else v
+        assert got[n] == pytest.approx(last[k], abs=1e-9)
+    assert len(got) == len(rows)
+
+
+def test_png_of_all_filters_and_colours():
+    import struct
+    import zlib
+
+    from corpusflow.operators import image
+
+    rng = np.random.default_rng(4)
+    for channels in (1, 2, 3, 4):
+        x = rng.integers(0, 256, (9, 7, channels)).astype(np.uint8)
+        assert np.array_equal(image.read_png(image.write_png(x)), x)
+        lines, above = b"", np.zeros(7 * channels, np.int64)
+        for y in range(9):  # filtered by the format's definition, value by value
+            now, kind = x[y].astype(np.int64).ravel(), y % 5
+            left = np.concatenate([np.zeros(channels, np.int64), now[:-channels]])
+            corner = np.concatenate([np.zeros(channels, np.int64), above[:-channels]])
+            near = []
+            for a, b, c in zip(left, above, corner, strict=True):
+                p = a + b - c
+                near.append(min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2])
+            guess = [np.zeros_like(now), left, above, (left + above) // 2, np.array(near)][kind]
+            lines, above = lines + bytes([kind]) + ((now - guess) % 256).astype(np.uint8).tobytes(), now
+        chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+        png = image.SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", 7, 9, 8, image.COLOURS[channels], 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+        assert np.array_equal(image.read_png(png), x)
+        for cut in (0, 5, 20, 40, len(png) - 3):
+            with pytest.raises(ValueError):
+                image.read_png(png[:cut])
