@@ -1,6 +1,6 @@
 """The corpus pipeline: toxic documents go, recurring lines go, one document of each near-duplicate group stays, sources are
 mixed to their weights, and the rest becomes token ids. Each stage is written as Parquet and read again as the next one's
-docs, so a lost executor costs one stage at most."""
+docs, so a lost executor costs one stage at most; a stage's files go when the next one's are there."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusflow.llm import bpe, line_dedup, mixing, shingles, toxicity
-from corpusflow.llm.common import shared_dir, table
+from corpusflow.llm.common import remove, shared_dir, table
 from corpusflow.llm.queries import tokenizer_path
 
 
@@ -24,7 +24,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, linked by 0.8 or more of similarity of five-word shingles, the document of least doc_id."""
+    """Of each group of near duplicates the document of least doc_id: SimHash balls and MinHash bands find the candidates, a similarity of five-word shingles of 0.8 or more links."""
     return shingles.one_of_similar(docs)
 
 
@@ -45,9 +45,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/corpusflow/pipeline-{uuid.uuid4().hex}"
-    for i, (name, stage) in enumerate(STAGES[:-1]):
+    before = None
+    for i, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(at := f"{folder}/{i}-{name}")
         docs = spark.read.parquet(at)
-    stage = STAGES[-1][1]
-    stage(spark, docs, sf_dir).write.mode("overwrite").parquet(at := f"{folder}/{len(STAGES) - 1}-{STAGES[-1][0]}")
-    return spark.read.parquet(at)
+        if before:
+            remove(spark, before)
+        before = at
+    return docs
