@@ -25,7 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, times: int = 1) -> None:
-    """Few rows and few bytes in a batch, as a text may be long; `times` as many where work in step pays."""
+    """Few rows and few bytes in a batch, as a text may be long; `times` as many where work in step pays.
+
+    Plans read these settings when they run, which is after the operator returns, so that they stay as the last operator set them.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(times * BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(times * BATCH_BYTES))
 
@@ -53,6 +56,12 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """A folder that is needed no more, in any store that Spark writes to."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute once and keep in the shared folder: lost executors cost no earlier stage."""
     spark = df.sparkSession

@@ -26,6 +26,8 @@ PIECE = SIDE * SIDE
 #: Streams read in step, streams packed at once, and payload bytes that one group of documents may hold.
 TOGETHER, PACKED, GROUP_BYTES = 1024, 16, 4 << 20
 DELAY = 4  # hundredths of a second
+#: Pixels of a screen or an image beyond which a GIF isn't decoded: a frame's RGBA bytes must fit into one value of a column.
+MOST_PIXELS = 1 << 26
 
 
 @lru_cache(1)
@@ -215,7 +217,8 @@ def encode_gif(payload: bytes, side: int = SIDE) -> bytes:
 
 
 def parse_gif(data: bytes) -> tuple[int, int, list[tuple[Image, bytes, int, bool]]]:
-    """(width, height, images with their LZW streams, code sizes and interlacing). ValueError where it isn't a GIF."""
+    """(width, height, images with their LZW streams, code sizes and interlacing). ValueError where it isn't a whole GIF of a
+    sane size: code sizes are 2 to 8 bits, and screens and images have MOST_PIXELS at most."""
     try:
         return _parse(data)
     except IndexError:
@@ -227,6 +230,8 @@ def _parse(data: bytes) -> tuple[int, int, list[tuple[Image, bytes, int, bool]]]
         raise ValueError("not a GIF")
     two = lambda i: data[i] | data[i + 1] << 8
     width, height, flags, at = two(6), two(8), data[10], 13
+    if width * height > MOST_PIXELS:
+        raise ValueError("a GIF's screen is too large")
 
     def colours(flags: int, at: int) -> tuple[np.ndarray, int]:
         n = 3 * (2 << (flags & 7))
@@ -261,6 +266,8 @@ def _parse(data: bytes) -> tuple[int, int, list[tuple[Image, bytes, int, bool]]]
             if flags & 0x80:
                 image.palette, at = colours(flags, at)
             bits = data[at]
+            if not 2 <= bits <= 8 or image.width * image.height > MOST_PIXELS:
+                raise ValueError("a GIF's image has an impossible size")
             stream, at = sub_blocks(at + 1)
             found.append((image, stream, bits, bool(flags & 0x40)))
             delay, disposal, transparent = 0, 0, -1
@@ -269,6 +276,16 @@ def _parse(data: bytes) -> tuple[int, int, list[tuple[Image, bytes, int, bool]]]
     return width, height, found
 
 
+def read_each(files: list[bytes]) -> list[tuple[int, int, list[Image]] | None]:
+    """read_gifs(), with None for what isn't a whole GIF."""
+    try:
+        return list(read_gifs(files))
+    except ValueError:
+        if len(files) == 1:
+            return [None]
+        return [x for f in files for x in read_each([f])]
+
+
 def read_gifs(files: list[bytes]) -> list[tuple[int, int, list[Image]]]:
     """All files' images with their indices; streams of one code size are decoded together."""
     parsed = [parse_gif(f) for f in files]
@@ -322,10 +339,9 @@ def frames(media: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for key, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                try:
-                    width, height, images = read_gifs([data.as_py() or b""])[0]
-                except ValueError:
+                if (whole := read_each([data.as_py() or b""])[0]) is None:
                     continue
+                width, height, images = whole
                 start, rows = 0, []
                 for n, (rgba, delay) in enumerate(compose(width, height, images)):
                     rows.append((key, n, start, delay, width, height, histogram(rgba[rgba[..., 3] > 0]).tolist(), rgba.tobytes()))
@@ -387,8 +403,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             group.append((key, n_bytes, data.as_py()))
             size += len(group[-1][2] or b"")
             if size > GROUP_BYTES or n == len(values) - 1:
-                gifs = iter(read_gifs([x for _, _, x in group if x is not None]))
-                rows += [(k, m, *(_told(x, next(gifs)) if x is not None else (None,) * 6)) for k, m, x in group]
+                rows += [(k, m, *(_told(x, g) if g else (None,) * 6)) for (k, m, x), g in zip(group, read_each([x or b"" for _, _, x in group]), strict=True)]
                 group, size = [], 0
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_DIGEST)], schema=_DIGEST)
 
@@ -407,7 +422,7 @@ def digest(media: DataFrame) -> DataFrame:
     """Digests of (doc_id, n_bytes, media), from the GIFs' bytes alone: payload by palette from the frames as shown, and a feature.
 
     feature: number of frames, size, time in ms and the pixels of each of 64 colours over all frames. A row for each row;
-    repeated rows and null doc_ids are rows like others. Null media: the other columns are null.
+    repeated rows and null doc_ids are rows like others. Null media, and bytes that aren't a whole GIF: those columns are null.
     """
     bounded_batches(media.sparkSession)
     return over_arrow(with_columns_of(media, ["doc_id", "n_bytes", "media"]), _digest, DIGEST)

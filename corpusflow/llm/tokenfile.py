@@ -1,7 +1,8 @@
 """Token ids in Arrow IPC files of fixed-size lists.
 
 A corpus' ids, in order of doc_id, are one stream; each file holds a stretch of it, cut into sequences of equal length, as
-columns ids (fixed_size_list<uint16 or uint32>) and mask (fixed_size_list<bool>, false where the last sequence is filled up).
+columns ids (fixed_size_list<uint16 or uint32>) and mask (fixed_size_list<bool>, one bit a token, false where the last
+sequence is filled up).
 All record batches of a file but the last have equally many sequences, so that any sequence or document of a memory-mapped
 file is a view without a copy. Beside it an index file has each document's doc_id, start in the file and number of ids.
 """
@@ -131,9 +132,18 @@ class Reader:
         batch, row = divmod(n, SEQUENCES)
         return self._values(batch)[row * self.sequence : (row + 1) * self.sequence]
 
-    def mask_of(self, n: int) -> np.ndarray:
+    def mask_of(self, n: int) -> pa.BooleanArray:
+        """The mask of sequence n, without a copy: a view on the file's bits."""
         batch, row = divmod(n, SEQUENCES)
-        return self.file.get_batch(batch).column(1)[row].values.to_numpy(zero_copy_only=False)
+        self._values(batch)
+        return self.batch.column(1).flatten().slice(row * self.sequence, self.sequence)
+
+    def mask_bits(self, n: int) -> np.ndarray:
+        """The same as bytes of eight flags, low bits first, without a copy; sequences must be whole bytes long."""
+        if self.sequence % 8:
+            raise ValueError("the sequence length must be a multiple of 8")
+        mask = self.mask_of(n)
+        return np.frombuffer(mask.buffers()[1], np.uint8, self.sequence // 8, mask.offset // 8)
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """Ids start, start + 1, ...; without a copy if they lie in one record batch."""
@@ -154,12 +164,13 @@ class Reader:
 def write(docs: DataFrame, path: str, folder: str, end: int = 2, sequence: int = SEQUENCE) -> list[tuple[int, str, str, int, int]]:
     """Encodes docs by the tokenizers library, `end` after each, into `folder`: (part, ids file, index file, ids, documents) in stream order.
 
-    Rows go by doc_id (null first), those of one doc_id by their text's hash. Null texts are empty: they have the end id only.
+    Rows go by doc_id (null first), those of one doc_id by their text's hash; equal rows may come from several files. Null texts are empty: they have the end id only.
     One entry a file comes to the driver.
     """
     bounded_batches(docs.sparkSession)
     rows = with_columns_of(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
-    ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    rows = rows.withColumn("i", F.monotonically_increasing_id())  # so that equal rows, however many, aren't one range
+    ordered = rows.repartitionByRange("doc_id", "h", "i").sortWithinPartitions("doc_id", "h", "i").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, writer, part = library(path), None, TaskContext.get().partitionId()

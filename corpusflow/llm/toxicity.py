@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, over_arrow, with_columns_of
 
 #: Bounds of the fit: labelled rows of each class, characters of one of them, features. All are parameters of fit().
-FIT_ROWS, FIT_CHARS, FEATURES = 3000, 20_000, 4096
+FIT_ROWS, FIT_CHARS, FEATURES = 3000, 10_000, 4096
 GRADES = 4
 WORD = re.compile(r"[^\W\d_]+")
 BLOCK, MEMO = 1 << 20, 200_000
@@ -91,16 +91,19 @@ def _likeness(text: str) -> int:
 def fit_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> pd.DataFrame:
     """(text, toxic, weight) of at most `rows` labelled rows of each class, those of least hash; a bounded sample by rule.
 
-    A doc_id with several labels counts as toxic if one says so. Texts over `chars` characters are left out of the fit.
+    A doc_id with several labels counts as toxic if one says so, and of its texts the one of least hash is read. Of a text over
+    `chars` characters the fit reads as many, from a place chosen by hash; scoring reads whole texts.
     """
     marks = with_columns_of(labels, ["doc_id", "toxic"]).where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
     of = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     chosen = [marks.where(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(rows) for c in (0, 1)]
     ids = chosen[0].union(chosen[1])  # at most 2 * rows ids, so that they may be broadcast
-    texts = with_columns_of(docs, ["doc_id", "text"]).where(F.length("text") <= chars).join(F.broadcast(ids), F.col("doc_id").cast("long") == F.col("id"))
-    found = texts.select("id", "text", "toxic").orderBy(F.xxhash64("id", "text"), "id").limit(4 * rows).toPandas()
+    h = F.xxhash64("text")
+    at = (F.pmod(F.shiftright(h, 8), F.greatest(F.length("text") - chars, F.lit(0)) + 1) + 1).cast("int")
+    read = with_columns_of(docs, ["doc_id", "text"]).where("text is not null").select(F.col("doc_id").cast("long").alias("id"), h.alias("h"), F.substring(F.col("text"), at, F.lit(chars)).alias("text"))
+    found = read.join(F.broadcast(ids), "id").groupBy("id", "toxic").agg(F.min_by("text", "h").alias("text")).toPandas().sort_values("id")
     # Of near copies one is enough: their own rare words would pass for signs of their class.
-    found = found.drop_duplicates("id").sort_values(["id"]).assign(like=[_likeness(t) for t in found.drop_duplicates("id").sort_values(["id"])["text"]])
+    found = found.assign(like=[_likeness(t) for t in found["text"]])
     found = found.drop_duplicates(["like", "toxic"]).drop(columns="like").reset_index(drop=True)
     have = found["toxic"].value_counts()
     return found.assign(weight=[of[t] / have[t] for t in found["toxic"]])
@@ -174,7 +177,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, severity, grade, toxic): a row for each row of docs.
 
     severity is the expected grade, 0 to 3; grade the likeliest (the lower on a tie); toxic whether a grade over 0 is likelier
-    than not. Null and empty texts have no features. Other columns are ignored. An empty table gives no rows.
+    than not. Null and empty texts have no features. Repeated rows are judged alike. Other columns are ignored. An empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
 
@@ -197,6 +200,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that aren't judged toxic; columns as they were."""
     model = fit_model(fit_rows(docs, labels))
     bounded_batches(docs.sparkSession)
+    with_columns_of(docs, ["doc_id", "text"])
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:

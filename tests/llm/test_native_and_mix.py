@@ -260,7 +260,15 @@ def test_mix_edges(spark):
     assert mixing.mix(empty.limit(0)).count() == 0
     df = spark.createDataFrame([(1, "a b c", "s")] * 4 + [(None, "a b", "s"), (None, "a b", "s"), (2, "x", "t")], "doc_id long, text string, source string")
     rows = mixing.mix(df).collect()
-    assert len(rows) == 7 and len({r["copies"] for r in rows if r["doc_id"] == 1}) == 1 and len({r["copies"] for r in rows if r["size"] == 2}) == 1
+    assert len(rows) == 7
+    assert all(len(some) and max(some) - min(some) <= 1 for some in ([r["copies"] for r in rows if r["size"] == n] for n in (2, 3)))
+    equal = spark.createDataFrame([(7, "a b c d", "s")] * 100, "doc_id long, text string, source string").repartition(3)
+    rows = mixing.mix(equal).collect()
+    assert (len(rows), rows[0]["target"], sum(r["taken"] for r in rows), {r["copies"] for r in rows}) == (100, 600.0, 600, {1, 2})
+    assert mixing.mixed_documents(equal).count() == 150
+    odd = spark.createDataFrame([(1, "a b c", "s")] * 5 + [(1, "a b c", None)] * 3 + [(2, "x " * 9, "s"), (None, None, "s"), (None, None, None)], "doc_id long, text string, source string")
+    want = sum(r["copies"] for r in mixing.mix(odd, keep=["doc_id", "source"]).collect())
+    assert mixing.mixed_documents(odd).count() == want == sum(r["copies"] for r in mixing.mix(odd).collect())
 
 
 def test_flight_keeps_totals():
@@ -272,3 +280,12 @@ def test_flight_keeps_totals():
     assert set(whole.tolist()) <= {0.0, 1.0} and abs(((whole - p) * words).sum()) <= 5
     mean = np.mean([mixing.flight(np.full(40, 0.3), np.ones(40), np.arange(40.0), np.random.default_rng(s)) for s in range(400)], axis=0)
     assert np.abs(mean - 0.3).max() < 0.13
+
+
+def test_targets_of_many_sources(spark):
+    """Against resharing in plain code, with weights, limits and order of code points."""
+    rng = random.Random(11)
+    sizes = {f"s{i}é" if i % 3 else f"S{i}": int(rng.expovariate(0.001)) for i in range(500)} | {None: 40, "z": 10**6, "": 0}
+    rows = spark.createDataFrame([("n" if s is None else f"s{s}", 1, n) for s, n in sizes.items()], "source_key string, units long, source_size long")
+    got = {r["source_key"]: r["target"] for r in mixing.source_targets(rows).collect()}
+    assert all(got["n" if s is None else f"s{s}"] == pytest.approx(t, rel=1e-9, abs=1e-6) for s, t in plain_targets(sizes).items()) and len(got) == len(sizes)

@@ -1,5 +1,6 @@
 """The pipeline stage by stage, each against plain code on its own input."""
 
+import glob
 import hashlib
 import os
 from collections import Counter
@@ -9,7 +10,8 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 public = pytest.importorskip("public_tokenizers")
-from test_native_and_mix import plain_components, plain_fingerprint, plain_line_dedup  # noqa: E402
+from test_native_and_mix import plain_line_dedup  # noqa: E402
+from test_shingles import plain_kept  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
@@ -30,8 +32,7 @@ def test_stages(spark):
     assert not [i for i in gone if labels.get(i) == 0] and clean.merge(start, on=list(start.columns)).shape == clean.shape
     assert dict(zip(deduped.doc_id, deduped.text, strict=True)) == plain_line_dedup(list(zip(clean.doc_id, clean.text, strict=True)))
     assert (deduped.n_chars == deduped.text.str.len()).all()
-    roots = plain_components({i: plain_fingerprint(t) for i, t in zip(deduped.doc_id, deduped.text, strict=True)})
-    assert set(single.doc_id) == {i for i, r in roots.items() if i == r}
+    assert set(single.doc_id) == plain_kept(list(zip(deduped.doc_id, deduped.text, strict=True))) and len(single) == single.doc_id.nunique()
     taken = Counter(mixed.doc_id)
     assert set(taken) <= set(single.doc_id) and max(taken.values()) <= 2
     theirs = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
@@ -44,6 +45,7 @@ def test_stages(spark):
 
 def test_run_and_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, DATA).count() > 50
+    assert [sorted(os.listdir(d)) for d in glob.glob(f"{spark.conf.get('spark.checkpoint.dir').removeprefix('file://')}/corpusflow/pipeline-*")] == [["4-bpe"]]
     for name in ("documents", "labels"):
         spark.read.parquet(f"{DATA}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
