@@ -26,7 +26,7 @@ HANDFUL = 12
 #: Units of a chunk, of all sizes, which go to the next flight as they are, so that the last one has units to balance by.
 RESERVE = 16
 KEY = ["source_key", "doc_id", "size", "h", "r"]
-UNIT = "source_key string, doc_id long, size long, h long, r long, p double"
+UNIT = "source_key string, doc_id long, size long, h long, r long, deal long, p double"
 #: Rows that one step of repeating makes of a row.
 AT_ONCE = 4096
 
@@ -134,7 +134,7 @@ def land(p: np.ndarray, words: np.ndarray, docs: np.ndarray, swaps: int = 20) ->
     return out
 
 
-def _level(units: DataFrame, chunks: Column, seed: int, last: bool) -> DataFrame:
+def _level(units: DataFrame, chunks: Column, seed: int, last: bool, reserve: int) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(t=-pdf["size"]).sort_values(["t", "h", "doc_id", "r"], na_position="last").reset_index(drop=True)  # the large first: what is left is small
         words, docs = pdf["size"].to_numpy(np.float64), np.ones(len(pdf))
@@ -142,18 +142,24 @@ def _level(units: DataFrame, chunks: Column, seed: int, last: bool) -> DataFrame
         p = pdf["p"].to_numpy(np.float64).copy()
         fly = np.ones(len(p), bool)
         if not last:
-            fly[np.linspace(0, len(p) - 1, min(len(p), RESERVE)).astype(int)] = False
+            fly[np.linspace(0, len(p) - 1, min(len(p), reserve)).astype(int)] = False
         if not last or len(p) > HANDFUL:
             p[fly] = flight(p[fly], docs[fly], words[fly], rng)
-        return pdf[KEY].assign(p=land(p, words, docs) if last else p)
+        return pdf[[*KEY, "deal"]].assign(p=land(p, words, docs) if last else p)
 
-    dealt = units.withColumn("chunk", F.pmod(F.xxhash64("h", "doc_id", "r", F.lit(seed)), chunks.cast("long")))
-    return dealt.groupBy("source_key", "chunk").applyInPandas(lambda pdf: run(pdf[[*KEY, "p"]]), UNIT)
+    dealt = units.withColumn("chunk", F.pmod(F.xxhash64("h", "doc_id", "deal", F.lit(seed)), chunks.cast("long")))
+    return dealt.groupBy("source_key", "chunk").applyInPandas(lambda pdf: run(pdf[[*KEY, "deal", "p"]]), UNIT)
 
 
 def _plan(rows: DataFrame, weights: tuple[float, ...], share: float, most: float, seed: int) -> DataFrame:
     """Of rows (source_key, doc_id, size, h, r) each different one with m, how often it is there, base and extra: each of the m is taken base times, and `extra` of them once more."""
-    units = cut(rows.groupBy(*KEY).agg(F.count("*").alias("m")))
+    units = cut(rows.groupBy(*KEY).agg(F.count("*").alias("m")).withColumn("g", F.xxhash64(*KEY[:-1])))
+    # Units that only their other columns tell apart, however many, are dealt to chunks by these; for all others they don't matter.
+    alike = cut(units.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g", F.lit(True).alias("alike")))
+    deal = F.lit(0).cast("long")
+    if not alike.isEmpty():
+        units, deal = salted_join(units, alike, "g", F.col("r"), "left"), F.when(F.col("alike"), F.col("r")).otherwise(F.lit(0).cast("long"))
+    units = units.withColumn("deal", deal).drop("g", "alike")
     sizes = units.groupBy("source_key").agg(F.count("*").alias("units"), F.sum(F.col("size") * F.col("m")).alias("source_size"))
     sources = cut(source_targets(sizes, weights, share, most))
     few = sources.count() <= FEW_SOURCES
@@ -163,18 +169,18 @@ def _plan(rows: DataFrame, weights: tuple[float, ...], share: float, most: float
     # Of m equal rows with the fraction f, m * f are due: the whole part for sure, the rest as a probability.
     due = F.col("m") * (ratio - F.floor(ratio))
     due = F.when(F.abs(due - F.round(due)) < EDGE, F.round(due)).otherwise(due)
-    told = cut(told.select(*KEY, "m", "units", "source_size", "target", F.floor(ratio).cast("long").alias("base"), F.floor(due).cast("long").alias("sure"), (due - F.floor(due)).alias("p")))
+    told = cut(told.select(*KEY, "deal", "m", "units", "source_size", "target", F.floor(ratio).cast("long").alias("base"), F.floor(due).cast("long").alias("sure"), (due - F.floor(due)).alias("p")))
     todo = told.where("p > 0")
     most_units = sources.agg(F.max("units")).first()[0] or 0
-    chunks, level, done = F.ceil(F.col("units") / F.lit(CHUNK)), 0, []
+    chunks, level, done, reserve = F.ceil(F.col("units") / F.lit(CHUNK)), 0, [], max(0, min(RESERVE, CHUNK // 4 - 3))
     while True:
         last = most_units <= CHUNK
-        moved = cut(_level(todo, chunks, seed + level, last))
+        moved = cut(_level(todo, chunks, seed + level, last, reserve))
         done.append(moved.where(F.col("p").isin(0.0, 1.0)))
         if last:
             break
         # A chunk leaves three units at most and its reserve; so many a source go on, dealt anew.
-        most_units, level = (3 + RESERVE) * -(-most_units // CHUNK), level + 1
+        most_units, level = (3 + reserve) * -(-most_units // CHUNK), level + 1
         todo = moved.where("p > 0 and p < 1")
         chunks = F.lit(max(1, -(-most_units // CHUNK)))
     drawn = done[0]

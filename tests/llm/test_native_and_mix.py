@@ -254,7 +254,7 @@ def test_mix(spark, monkeypatch):
     assert Counter(r["doc_id"] for r in out.select("doc_id").collect()) == Counter({i: n for i, n in again.items() if n})
 
 
-def test_mix_edges(spark):
+def test_mix_edges(spark, monkeypatch):
     empty = docs(spark, [None, "", " "])
     assert [(r["target"], r["taken"]) for r in mixing.mix(empty).collect()] == [(0.0, 0)] * 3
     assert mixing.mix(empty.limit(0)).count() == 0
@@ -266,6 +266,9 @@ def test_mix_edges(spark):
     rows = mixing.mix(equal).collect()
     assert (len(rows), rows[0]["target"], sum(r["taken"] for r in rows), {r["copies"] for r in rows}) == (100, 600.0, 600, {1, 2})
     assert mixing.mixed_documents(equal).count() == 150
+    many = spark.createDataFrame([(7, "a b c d", "s", f"x{i}") for i in range(300)], "doc_id long, text string, source string, other string")
+    monkeypatch.setattr(mixing, "CHUNK", 32)
+    assert sum(r["copies"] for r in mixing.mix(many, keep=["other"]).collect()) == mixing.mixed_documents(many).count() == 450
     odd = spark.createDataFrame([(1, "a b c", "s")] * 5 + [(1, "a b c", None)] * 3 + [(2, "x " * 9, "s"), (None, None, "s"), (None, None, None)], "doc_id long, text string, source string")
     want = sum(r["copies"] for r in mixing.mix(odd, keep=["doc_id", "source"]).collect())
     assert mixing.mixed_documents(odd).count() == want == sum(r["copies"] for r in mixing.mix(odd).collect())
