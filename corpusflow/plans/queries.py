@@ -144,6 +144,18 @@ def q_catalog_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.describe(files.select("config", "split").distinct(), files.where("size > 5000"))
 
 
+@query("SELECT source AS config, lang AS split FROM documents ORDER BY source, lang LIMIT 1")
+def q_default_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The config and split that are taken where none is said."""
+    return catalog.default_choice(_files(spark, sf_dir).select("config", "split"))
+
+
+@query("SELECT source AS config, lang AS split, source || '/' || lang || ' has ' || count(*) || CASE WHEN count(*) = 1 THEN ' file of ' ELSE ' files of ' END || CASE WHEN sum(n_chars) >= 1048576 THEN round(sum(n_chars) / 1048576.0, 1) || ' MB' ELSE sum(n_chars) || ' bytes' END AS line FROM documents GROUP BY source, lang")
+def q_catalog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _files(spark, sf_dir)
+    return catalog.summary_lines(files.select("config", "split").distinct(), files)
+
+
 def _named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File names of all the forms that the rules tell apart, made from document numbers."""
     i = F.col("doc_id")

@@ -123,3 +123,15 @@ def describe(splits: DataFrame, files: DataFrame) -> DataFrame:
     """Each config and split with its files' number and bytes, 0 without files."""
     held = files.groupBy("config", "split").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
     return splits.join(held, ["config", "split"], "left").withColumn("files", F.coalesce("files", F.lit(0))).withColumn("bytes", F.coalesce("bytes", F.lit(0))).orderBy("config", "split")
+
+
+def default_choice(splits: DataFrame) -> DataFrame:
+    """(config, split): the first config by name, and its first split."""
+    return splits.agg(F.min(F.struct("config", "split")).alias("first")).select("first.*")
+
+
+def summary_lines(splits: DataFrame, files: DataFrame) -> DataFrame:
+    """(config, split, line): what a reader is told of each config and split."""
+    size = F.when(F.col("bytes") >= 1 << 20, F.concat(F.round(F.col("bytes") / (1 << 20), 1).cast("string"), F.lit(" MB"))).otherwise(F.concat(F.col("bytes").cast("string"), F.lit(" bytes")))
+    told = F.concat_ws(" ", F.concat_ws("/", "config", "split"), F.lit("has"), F.col("files").cast("string"), F.when(F.col("files") == 1, "file").otherwise("files"), F.lit("of"), size)
+    return describe(splits, files).select("config", "split", told.alias("line"))

@@ -151,11 +151,16 @@ class Repo:
         size = found.get("x-linked-size") or found.get("content-length") or ""
         return {"commit": found.get("x-repo-commit") or "", "etag": etag.removeprefix("W/").strip('"'), "location": found.get("location") or self.url(name), "size": size}
 
+    def listing_url(self) -> str:
+        return f"{self.endpoint}/parquet?dataset={self.id}"
+
     def catalog(self, spark: SparkSession, force: bool = False) -> DataFrame:
-        """The file catalog: kept in the cache, and made from the file names where it isn't there yet or with force."""
+        """The file catalog: kept in the cache; where it isn't there yet, or with force, as the server lists it, or else made from the file names."""
         path = os.path.join(self.folder, "info", f"{self.revision}.files.json")
         with locked(path):
-            if force or not os.path.exists(path):
+            if (force or not os.path.exists(path)) and (told := self.transport(self.listing_url()) if self.transport else None) is not None:
+                self._put(path, told)
+            elif force or not os.path.exists(path):
                 listed = [(s["rfilename"], s.get("size")) for s in self.info(force).get("siblings") or []]
                 rows = catalog.crawl(spark.createDataFrame(listed, "name string, size long"), self.id).orderBy("ordinal")
                 self._put(path, json.dumps({"parquet_files": [r.asDict() for r in rows.collect()]}).encode())  # one repository's files
@@ -215,6 +220,13 @@ class Repo:
         rows = [(os.path.relpath(p, root), p, os.path.getsize(p)) for d, _, fs in os.walk(root) for f in fs if not f.endswith((".lock", ".part")) for p in [os.path.join(d, f)]]
         return spark.createDataFrame(sorted(rows), "filename string, path string, size long")
 
+    def cached_file(self, config: str = "", split: str = "", ending: str = ".parquet") -> str | None:
+        """The first cached file by name of a config and split, "" for any, to learn a schema from; None without one."""
+        root = self.snapshot
+        found = sorted(os.path.relpath(os.path.join(d, f), root) for d, _, fs in os.walk(root) for f in fs if f.endswith(ending))
+        fits = (n for n in found if all(not w or f"/{w}/" in f"/{n}" or w in os.path.basename(n) for w in (config, split)))
+        return next((os.path.join(root, n) for n in fits), None)
+
     def delete(self, config: str | None, split: str | None) -> int:
         """Cached files of a config and split, both of which must be said ("" for any); returns how many went."""
         if config is None or split is None:

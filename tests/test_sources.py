@@ -138,7 +138,9 @@ def test_cache(spark, tmp_path):
 
 
 class Served:
-    """A repository of bytes by name, with headers, that counts what is fetched."""
+    """A repository of bytes by name, with headers, that counts what is fetched; its listing of Parquet files may be missing."""
+
+    listing: bytes | None = None
 
     def __init__(self, files, commit="c1"):
         import hashlib
@@ -146,6 +148,8 @@ class Served:
         self.files, self.commit, self.fetched, self.etag = files, commit, [], lambda x: hashlib.md5(x).hexdigest()
 
     def get(self, url):
+        if "/parquet?" in url:
+            return self.listing
         if "/api/" in url:
             return json.dumps({"id": "a/b", "siblings": [{"rfilename": n, "size": len(x)} for n, x in self.files.items()]}).encode()
         self.fetched.append(name := url.partition("/resolve/main/")[2])
@@ -171,6 +175,9 @@ def test_downloads_by_headers(spark, tmp_path):
     later = repo.download(["data/train-0.parquet", "data/test-0.parquet"])
     assert "/snapshots/c2/" in later[0] and open(later[1], "rb").read() == b"new" and served.fetched[2:] == ["data/test-0.parquet"]
     assert {r["filename"] for r in repo.downloaded(spark).collect()} == {"data/train-0.parquet", "data/test-0.parquet"}
+    assert repo.cached_file("", "test").endswith("c2/data/test-0.parquet") and repo.cached_file("none") is None
+    served.listing = json.dumps({"parquet_files": [{"dataset": "a/b", "config": "x", "split": "y", "url": "u", "filename": "f", "size": 3}]}).encode()
+    assert [tuple(r)[1:5] for r in repo.catalog(spark, force=True).collect()] == [("a/b", "x", "y", "u")]
     repo.cancelled.set()
     with pytest.raises(InterruptedError):
         repo.download(["x.json"])
