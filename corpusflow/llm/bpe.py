@@ -51,6 +51,11 @@ class Vocabulary:
         step, model, letters = spec["pre_tokenizer"], spec["model"], byte_letters()
         if model["type"] != "BPE" or step["type"] != "ByteLevel" or step["add_prefix_space"] or spec["normalizer"] or spec["post_processor"]:
             raise ValueError(f"{path}: not a plain byte-level BPE")
+        # What would give other ids than plain merging is refused, not ignored.
+        odd = [k for k in ("dropout", "ignore_merges", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix") if model.get(k)]
+        odd += [f"{k} of {t['content']}" for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip") if t.get(k)]
+        if odd or step.get("use_regex") is False:
+            raise ValueError(f"{path}: {', '.join(odd) or 'no splitting'} isn't supported")
         raw = lambda s: bytes(letters[c] for c in s)
         self.ids = {raw(s): i for s, i in model["vocab"].items()}
         self.size = 1 + max([*model["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])

@@ -322,6 +322,18 @@ def test_speculation_is_exact_and_verifies(path):
     assert v._merge_few([v.single[b] for b in w.encode()]) == v._merge_many([v.single[b] for b in w.encode()], len(w))
 
 
+def test_other_tokenizers_are_refused(path, tmp_path):
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    small = spec | {"model": spec["model"] | {"merges": []}}
+    for change in ({"model": small["model"] | {"dropout": 0.1}}, {"model": small["model"] | {"ignore_merges": True}}, {"added_tokens": [t | {"lstrip": True} for t in spec["added_tokens"]]}, {"pre_tokenizer": spec["pre_tokenizer"] | {"use_regex": False}}):
+        (tmp_path / "t.json").write_text(json.dumps(small | change))
+        with pytest.raises(ValueError):
+            bpe.Vocabulary(str(tmp_path / "t.json"))
+
+
 def test_memory_of_words_is_bounded(path, monkeypatch):
     e = bpe.TextEncoder(bpe.vocabulary(path), bpe.SpeculativeWords(bpe.vocabulary(path)), 50)
     monkeypatch.setattr(bpe, "BLOCK", 200)
