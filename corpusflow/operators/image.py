@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def resized(x: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -144,6 +145,35 @@ def transposed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x.T)
 
 
+def decoded(images: DataFrame) -> DataFrame:
+    """(key, height, width, pixels, error) of rows (key, png): RGB as segment() takes it. What can't be read has an error instead."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for key, png in zip(frame["key"], frame["png"], strict=True):
+                try:
+                    x = read_png(png or b"")
+                    x = x[:, :, :3] if x.shape[2] > 2 else np.repeat(x[:, :, :1], 3, axis=2)
+                    rows.append((key, x.shape[0], x.shape[1], np.ascontiguousarray(x).tobytes(), None))
+                except ValueError as e:
+                    rows.append((key, None, None, None, str(e)))
+            yield pd.DataFrame(rows, columns=["key", "height", "width", "pixels", "error"]).astype({"height": "Int32", "width": "Int32"})
+
+    return images.select("key", "png").mapInPandas(run, "key long, height int, width int, pixels binary, error string")
+
+
+def saved(masks: DataFrame) -> DataFrame:
+    """(key, place, iou_score, png) of segment()'s rows: each mask as a grey PNG, in their order."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(png=[write_png(np.frombuffer(m, np.uint8).reshape(h, w)) for m, h, w in zip(frame["mask"], frame["height"], frame["width"], strict=True)])[["key", "place", "iou_score", "png"]]
+
+    each = masks.select("key", "width", "height", F.posexplode("masks").alias("place", "m")).select("key", "place", "m.iou_score", "m.mask", "width", "height")
+    return each.mapInPandas(run, "key long, place int, iou_score double, png binary")
+
+
 def segment(images: DataFrame, network: Callable, size: int = 1024, mean: tuple = (0.485, 0.456, 0.406), std: tuple = (0.229, 0.224, 0.225)) -> DataFrame:
     """(key, masks: array<struct<mask, iou_score>>, width, height) of rows (key, height, width, pixels, points, boxes).
 

@@ -140,3 +140,26 @@ def test_png_of_all_filters_and_colours():
         for cut in (0, 5, 20, 40, len(png) - 3):
             with pytest.raises(ValueError):
                 image.read_png(png[:cut])
+
+
+def test_segmenting_png_files(spark):
+    """From PNG files to PNG masks, best first, around a network that finds bright and dark pixels."""
+    from pyspark.sql import functions as F
+
+    from corpusflow.operators import image
+
+    x = np.zeros((4, 4, 3), np.uint8)
+    x[1:3, 2:4] = 250
+    rows = [(1, image.write_png(x)), (2, image.write_png(x[:, :, 0])), (3, b"broken"), (4, None)]
+    got = image.decoded(spark.createDataFrame(rows, "key long, png binary"))
+    assert [(r["key"], r["height"], r["width"], r["error"] is None) for r in got.orderBy("key").collect()] == [(1, 4, 4, True), (2, 4, 4, True), (3, None, None, False), (4, None, None, False)]
+
+    def network(pixels, points, labels):
+        bright = pixels[0, 0] - 0.5
+        return np.stack([-bright, bright]), np.array([0.2, 0.9])
+
+    prompts = got.where("error is null").withColumn("points", F.array(F.array(F.lit(1), F.lit(1), F.lit(1)))).withColumn("boxes", F.expr("cast(array() as array<array<int>>)"))
+    masks = image.segment(prompts, network, 4, (0.0,) * 3, (1.0,) * 3)
+    files = {(r["key"], r["place"]): r for r in image.saved(masks).collect()}
+    best = image.read_png(files[1, 0]["png"])[:, :, 0]
+    assert files[1, 0]["iou_score"] == 0.9 and np.array_equal(best > 0, x[:, :, 0] > 0) and np.array_equal(image.read_png(files[2, 1]["png"])[:, :, 0] > 0, x[:, :, 0] == 0)
