@@ -119,6 +119,8 @@ WORD = re.compile(r"[a-z0-9]+(?:[-.][a-z0-9]+)*|[.!?:;][\"')\]*]*[ \t]*\r?\n|\n"
 HYPHEN = re.compile(r"(?<=[a-z0-9])-\r?\n[ \t#*/;]*(?=[a-z0-9])")
 STOP = re.compile(r"[.!?:;][\"')\]*]*[ \t]*\r?\n|\n[ \t\r]*\n")
 BLOCK = 1 << 20
+#: Part of its words that a licence has at least once each; what repeats a few words over and over is none.
+DISTINCT = 0.2
 NONE, UNKNOWN, SOFT, HARD = 0, 1, 1, -1
 
 
@@ -196,7 +198,7 @@ def fit_model(lines: list[str], seed: int = 9, steps: int = 300) -> Model:
         for t in ts:
             rows += [(words_of(t), kind)] * 4 + [(variant(words_of(t)), kind) for _ in range(24)]
     every = list(vocabulary)
-    rows += [([every[i] for i in rng.integers(0, len(every), rng.integers(3, 25))], 0) for _ in range(600)]  # the same words without their order
+    rows += [([every[i] for i in rng.integers(0, len(every), rng.integers(3, 25))], NONE) for _ in range(600)]  # the same words without their order
     pairs: dict[tuple[int, int], int] = {}
     for ts in [*TEMPLATES.values(), STRANGERS]:
         for t in ts:
@@ -297,7 +299,8 @@ def found_in(text: str | None, model: Model, numbers: _Numbers) -> tuple[int, fl
         def take(start: int, end: int, p: np.ndarray, words: list[str] = words, own: list[str] = own) -> None:
             if not own:
                 own.extend(w for w in words if w[-1] != "\n")
-            found.append(model.family(p, own[start:end]))
+            if len(set(own[start:end])) > DISTINCT * (end - start):
+                found.append(model.family(p, own[start:end]))
 
         starts, after, p = judge(part, np.arange(len(plain)))
         licence = 1 - p[:, NONE]

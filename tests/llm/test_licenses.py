@@ -40,6 +40,8 @@ def test_others_are_unknown_and_prose_is_none(model):
     assert all(set(found(model, t)[2]) <= {"unknown"} for t in new) and any(found(model, t)[2] for t in new)
     clean = [*prose(400, 9), *licenses.OTHERS]
     assert sum(len(found(model, t)[2]) for t in clean) <= 3
+    junk = [" ".join([w] * n) for w in ("Is", "the", "license", "Ber", "software") for n in (40, 2000)]
+    assert not any(found(model, t)[2] for t in junk)
     assert 0.5 <= model.limit < 1 and 0.2 <= model.shared <= 0.8
 
 
@@ -61,18 +63,21 @@ def plain(model, text):
         e = np.exp((z - z.max()) / model.temperature)
         return e / e.sum()
 
+    def name(words):
+        return [model.family(p(words), words)] if len(set(words)) > licenses.DISTINCT * len(words) else []
+
     out = []
     for lines in parts:
         whole = [w for x in lines for w in x]
         if 1 - p(whole)[0] > model.limit:
-            out.append(model.family(p(whole), whole))
+            out += name(whole)
         elif len(lines) > 1:
             run: list = []
             for x in [*lines, None]:
                 if x is not None and 1 - p(x)[0] > model.limit:
                     run += x
                 elif run:
-                    out.append(model.family(p(run), run))
+                    out += name(run)
                     run = []
     return len(parts), sorted(out)
 
