@@ -531,14 +531,14 @@ def q_stream_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PAIRS = "FROM (SELECT vec_id AS q, CAST(embedding AS DOUBLE[]) AS a FROM embeddings WHERE vec_id % 50 = 0) JOIN (SELECT vec_id AS d, CAST(embedding AS DOUBLE[]) AS b FROM embeddings) ON true"
 
 
-def _scored(spark: SparkSession, sf_dir: str, measure: str) -> DataFrame:
+def _scored(spark: SparkSession, sf_dir: str, measure: str, digits: int | None = None) -> DataFrame:
     """Each fiftieth vector as a query, against all vectors."""
     e = read(spark, sf_dir, "embeddings")
-    return similarity.pairs(e.where("vec_id % 50 = 0"), e, measure, ("vec_id", "embedding"), ("vec_id", "embedding"))
+    return similarity.pairs(e.where("vec_id % 50 = 0"), e, measure, ("vec_id", "embedding"), ("vec_id", "embedding"), digits=digits)
 
 
 def _measure_query(measure: str) -> Query:
-    return lambda spark, sf_dir: _scored(spark, sf_dir, measure).select("query_id", "doc_id", rounded(F.col("score")).alias("score"))
+    return lambda spark, sf_dir: _scored(spark, sf_dir, measure, 6)
 
 
 for _measure, _sql in (

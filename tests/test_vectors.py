@@ -163,3 +163,59 @@ def test_segmenting_png_files(spark):
     files = {(r["key"], r["place"]): r for r in image.saved(masks).collect()}
     best = image.read_png(files[1, 0]["png"])[:, :, 0]
     assert files[1, 0]["iou_score"] == 0.9 and np.array_equal(best > 0, x[:, :, 0] > 0) and np.array_equal(image.read_png(files[2, 1]["png"])[:, :, 0] > 0, x[:, :, 0] == 0)
+
+
+def test_pairs_are_the_expressions(spark):
+    """Tiles have the bits of the column expressions, with nulls, zeros and values that aren't finite, in one block and in many."""
+    rng, nan, inf = np.random.default_rng(3), float("nan"), float("inf")
+    odd = [None, [0.0] * 5, [-0.0] * 5, [1.0, None, 2.0, 3.0, 4.0], [nan, 1.0, 1.0, 1.0, 1.0], [inf, 1.0, -1.0, 0.0, 2.0], [1e-20] * 5, [1e200] * 5]
+    v = spark.createDataFrame([(i, x) for i, x in enumerate(odd + rng.normal(size=(40, 5)).tolist())] + [(3, [0.5] * 5), (None, [0.5] * 5)], "id long, v array<double>")
+    met = v.select(F.col("id").alias("q"), F.col("v").alias("a")).crossJoin(v.select(F.col("id").alias("d"), F.col("v").alias("b")))
+    told = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    for measure in ("cosine", "DOT_PRODUCT", "euclidean", "manhattan", "unknown", None):
+        score = vectors.similarity(measure, F.col("a"), F.col("b"))
+        for digits, block in ((None, 1000), (None, 25), (6, 1000))[: 3 if measure == "cosine" else 1]:
+            want = met.select("q", "d", score if digits is None else F.round(score, digits))
+            assert told(similarity.pairs(v, v, measure, ("id", "v"), ("id", "v"), block, digits)) == told(want)
+    narrow = v.where("id = 0 or id > 7").select(F.col("id").cast("string").alias("id"), F.col("v").cast("array<float>").alias("v"))
+    met = narrow.select(F.col("id").alias("q"), F.col("v").alias("a")).crossJoin(narrow.select(F.col("id").alias("d"), F.col("v").alias("b")))
+    assert told(similarity.pairs(narrow, narrow, "dot", ("id", "v"), ("id", "v"))) == told(met.select("q", "d", vectors.dot(F.col("a"), F.col("b"))))
+    assert similarity.pairs(v.where("id < 0"), v, "dot", ("id", "v"), ("id", "v")).count() == 0 == similarity.pairs(v, v.where("id < 0"), "dot", ("id", "v"), ("id", "v")).count()
+
+
+def test_pairs_of_other_lengths(spark):
+    v = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, None)], "id int, v array<double>")
+    some = lambda ids: v.where(F.col("id").isin(ids))
+    every = lambda q, d: [r["score"] for r in similarity.pairs(some(q), some(d), "dot", ("id", "v"), ("id", "v")).collect()]
+    assert every([1, 2, 3], [3]) == [None] * 3 == every([3], [1, 2, 3]) and sorted(every([1, 3], [1, 3]), key=repr) == [5.0, None, None, None]
+    for q, d in (([1], [2]), ([1, 2], [1]), ([1], [1, 2])):
+        with pytest.raises(Exception, match="vectors of 1 and 2 components"):
+            every(q, d)
+
+
+def test_rounding_is_that_of_columns(spark):
+    rng = np.random.default_rng(5)
+    x = [0.0, -0.0, 5e-7, -5e-7, 4.9999999e-7, 1.0000005, 0.1234565, 2.5, -1e-9, 1e15 + 0.3, 123456789.1234565, 4503599627370497.5, 1e300, -1e305, 5e-324, float("inf"), -float("inf"), float("nan")]
+    x += [float(i) / 1e7 for i in range(-3000, 3000)] + (rng.integers(-(10**9), 10**9, 3000) * 5 / 1e7).tolist() + rng.normal(size=3000).tolist()
+    got = spark.createDataFrame([(v,) for v in x], "x double").select("x", F.round("x", 6).alias("y"), F.round("x", 0).alias("z")).collect()
+    a = np.array([r["x"] for r in got])
+    for name, digits in (("y", 6), ("z", 0)):
+        assert list(map(repr, similarity.rounded(a, digits).tolist())) == [repr(r[name]) for r in got]
+
+
+def test_pairs_of_a_large_table_in_one_file(spark, tmp_path):
+    """A file of one row group is spread over all cores, and a pair is no matter of microseconds."""
+    import time
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    x = np.random.default_rng(7).normal(size=(20_000, 64)).astype(np.float32)
+    pq.write_table(pa.table({"id": np.arange(20_000), "v": pa.array(list(x))}), tmp_path / "v.parquet")
+    v = spark.read.parquet(str(tmp_path / "v.parquet"))
+    began = time.time()
+    every = similarity.pairs(v.where("id % 50 = 0"), v, "cosine", ("id", "v"), ("id", "v"), digits=6)
+    n, total, tasks = every.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum("score").alias("s")).agg(F.sum("n"), F.sum("s"), F.count("*")).first()
+    took, unit = time.time() - began, x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    assert n == 8_000_000 and total == pytest.approx((unit[::50] @ unit.T).round(6).sum(), abs=1e-3)
+    assert tasks >= spark.sparkContext.defaultParallelism and took < 60
